@@ -1 +1 @@
-
+"""Column expressions that Catalyst can optimise."""

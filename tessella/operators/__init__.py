@@ -1 +1 @@
-
+"""Retrieval operators: DataFrame in, DataFrame out."""

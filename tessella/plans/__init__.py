@@ -1 +1 @@
-
+"""Whole plans: settings, providers, indexing, querying, evaluation and the query catalogue."""

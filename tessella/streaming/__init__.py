@@ -1 +1 @@
-
+"""Structured Streaming front end of the incremental sync."""

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from tessella.llm.common import fold, letter_words, text_or_empty
-from tessella.session import ship_package
+from tessella.session import discard, durable, ship_package
 
 SHORTEST, LONGEST = 3, 6
 
@@ -81,41 +81,48 @@ def _logistic(rows: list[list[int]], scale: np.ndarray, y: np.ndarray, share: np
     return w, b
 
 
-def fit(texts: list[list[str]], toxic: list[bool], class_sizes: tuple[int, int], max_features: int = 20_000, support: float = 4.0, ridge: float = 1e-4, rounds: int = 400) -> ToxicityModel:
-    """Fit to texts given as their distinct words; ``class_sizes``: all labelled rows without and with the label."""
+def fit(rows: list[list[int]], toxic: list[bool], class_sizes: tuple[int, int], ratios: list[tuple[str, float]], ridge: float = 1e-4, rounds: int = 400) -> ToxicityModel:
+    """Fit to rows of gram numbers, positions in ``ratios`` (gram, log-count ratio); ``class_sizes``: all labelled rows without and with the label."""
     total = sum(class_sizes)
     prior = class_sizes[1] / total if total else 0.0
-    if not 0 < sum(toxic) < len(toxic):
+    n1 = sum(toxic)
+    n0 = len(toxic) - n1
+    if not (n0 and n1):
         return ToxicityModel({}, math.log(prior / (1 - prior)) if 0 < prior < 1 else (700.0 if prior else -701.0))
-    per_word: dict[str, set[str]] = {}
-    counts: tuple[Counter[str], Counter[str]] = (Counter(), Counter())
-    rows: list[set[str]] = []
-    for words, label in zip(texts, toxic, strict=True):
-        mine: set[str] = set()
-        for w in words:
-            if w not in per_word:
-                per_word[w] = grams(w)
-            mine |= per_word[w]
-        counts[label].update(mine)
-        rows.append(mine)
-    n0, n1 = len(toxic) - sum(toxic), sum(toxic)
-    ratio = {}
-    for g in counts[1].keys() | counts[0].keys():
-        p, q = counts[1][g] + 0.5, counts[0][g] + 0.5
-        r = math.log(p / (n1 + 1)) - math.log(q / (n0 + 1))
-        z = abs(r) / math.sqrt(1 / p - 1 / (n1 + 1) + 1 / q - 1 / (n0 + 1))
-        if z >= support:
-            ratio[g] = (z, r)
-    chosen = sorted(ratio, key=lambda g: (-ratio[g][0], g))[:max_features]
-    at = {g: i for i, g in enumerate(chosen)}
     y = np.array(toxic, float)
     share = np.where(y > 0, class_sizes[1] / n1, class_sizes[0] / n0) / total
-    scale = np.array([ratio[g][1] for g in chosen])
-    w, b = _logistic([sorted(at[g] for g in m if g in at) for m in rows], scale, y, share, ridge, rounds)
-    return ToxicityModel({g: float(w[i] * scale[i]) for g, i in at.items()}, float(b))
-
-
-def train_toxicity(documents: DataFrame, labels: DataFrame, per_class: int = 2000, hold_out: int | None = 5, key: str = "doc_id", text: str = "text", label: str = "toxic") -> ToxicityModel:
+    scale = np.array([r for _, r in ratios])
+    w, b = _logistic(rows, scale, y, share, ridge, rounds)
+    return ToxicityModel({g: float(w[i] * r) for i, (g, r) in enumerate(ratios)}, float(b))
+
+
+def gram_ratios(sample: DataFrame, sizes: tuple[int, int], support: float, most: int) -> list[tuple[str, float]]:
+    """Log-count ratios of the best supported grams of stored ``sample``(y, w): at most ``most`` of them, counted in Spark.
+
+    Every task counts the grams of its own rows first, so the shuffle carries one row per gram and task.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        toxic: Counter[str] = Counter()
+        other: Counter[str] = Counter()
+        for batch in batches:
+            for y, words in zip(batch.column(0), batch.column(1), strict=True):
+                (toxic if y.as_py() else other).update({g for w in words.as_py() for g in grams(w)})
+        names = list(toxic.keys() | other.keys())
+        for at in range(0, len(names), 50_000):
+            part = names[at : at + 50_000]
+            yield pa.record_batch([pa.array(part, pa.string()), pa.array([toxic[g] for g in part], pa.int64()), pa.array([other[g] for g in part], pa.int64())], ["g", "p", "q"])
+
+    n0, n1 = (F.lit(float(n + 1)) for n in sizes)
+    counted = sample.select("y", "w").mapInArrow(count, "g string, p bigint, q bigint").groupBy("g").agg((F.sum("p") + 0.5).alias("p"), (F.sum("q") + 0.5).alias("q"))
+    ratio = counted.select("g", (F.log(F.col("p") / n1) - F.log(F.col("q") / n0)).alias("r"), F.sqrt(1 / F.col("p") - 1 / n1 + 1 / F.col("q") - 1 / n0).alias("e"))
+    strong = ratio.select("g", "r", F.round(F.abs("r") / F.col("e"), 9).alias("z")).filter(F.col("z") >= support)
+    return [(r["g"], r["r"]) for r in strong.orderBy(F.desc("z"), "g").limit(most).collect()]
+
+
+def train_toxicity(
+    documents: DataFrame, labels: DataFrame, per_class: int = 2000, hold_out: int | None = 5, support: float = 4.0, max_features: int = 20_000, key: str = "doc_id", text: str = "text", label: str = "toxic"
+) -> ToxicityModel:
     """Learn from ``labels``; rows whose crc32(key as text) is divisible by ``hold_out`` are never learnt from."""
     ship_package(documents.sparkSession)
     own = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull())
@@ -129,11 +136,22 @@ def train_toxicity(documents: DataFrame, labels: DataFrame, per_class: int = 200
     def words(t: pa.Array) -> pa.Array:
         return pa.array([sorted(set(letter_words(x))) for x in t.to_pylist()], pa.list_(pa.string()))
 
-    # At most 2 x per_class keys are broadcast, and as many lists of distinct words reach the driver.
-    sample = F.broadcast(low[0].unionByName(low[1]))
-    picked = documents.select(F.col(key).alias("k"), text_or_empty(text).alias("t")).join(sample, "k").select("k", "y", words("t").alias("w")).collect()
-    picked.sort(key=lambda r: (r["k"], r["w"]))
-    return fit([r["w"] for r in picked], [r["y"] for r in picked], (sizes.get(False, 0), sizes.get(True, 0)))
+    # At most 2 x per_class keys are broadcast; their distinct words are stored, and only numbers of chosen grams reach the driver.
+    chosen = F.broadcast(low[0].unionByName(low[1]))
+    sample = durable(documents.select(F.col(key).alias("k"), text_or_empty(text).alias("t")).join(chosen, "k").select("k", "y", words("t").alias("w")))
+    seen = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = (seen.get(False, 0), seen.get(True, 0))
+    ratios = gram_ratios(sample, counts, support, max_features) if all(counts) else []
+    at = {g: i for i, (g, _) in enumerate(ratios)}
+
+    @arrow_udf("array<int>")
+    def numbers(w: pa.Array) -> pa.Array:
+        return pa.array([sorted({at[g] for word in x.as_py() for g in grams(word) if g in at}) for x in w], pa.list_(pa.int32()))
+
+    picked = sample.select("k", "y", numbers("w").alias("i")).collect()
+    discard(sample)
+    picked.sort(key=lambda r: (r["k"], r["y"], r["i"]))
+    return fit([r["i"] for r in picked], [r["y"] for r in picked], (sizes.get(False, 0), sizes.get(True, 0)), ratios)
 
 
 def _scored(model: ToxicityModel, texts: pa.Array) -> list[float]:

@@ -1,0 +1,192 @@
+import math
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tessella.functions.vectors import digest_vector
+from tessella.operators import filters, fusion, lexical, rerank, vector
+from tests.test_text_and_vectors import scalar_terms
+
+CHUNKS = "chunk_id string, content string, heading_path string, source string, doc_id string, is_latest boolean, acl array<string>"
+
+
+def make(spark, *rows):
+    return spark.createDataFrame([(i, c, h, s, s, latest, acl) for i, c, h, s, latest, acl in rows], CHUNKS)
+
+
+@pytest.fixture(scope="module")
+def corpus(spark):
+    return make(
+        spark,
+        ("a", "CPO 体验治理的目标是提升客户体验", "治理 > 目标", "cpo-guide.md", True, ["public"]),
+        ("b", "体验 体验 目标 目标 通用说明文字", "", "general.md", True, ["hr"]),
+        ("c", "python install command line", "", "setup.md", False, ["public"]),
+        ("d", "the expense deadline is three days", "Expense > Deadline", "expense.md", True, ["public", "hr"]),
+    )
+
+
+def ask(spark, **queries):
+    return spark.createDataFrame(list(queries.items()), "query_id string, query string")
+
+
+def scalar_bm25(texts, query):
+    docs = {i: Counter(scalar_terms(t)) for i, t in texts.items()}
+    avg = sum(sum(c.values()) for c in docs.values()) / len(docs)
+    out = {}
+    for i, c in docs.items():
+        total = 0.0
+        for t, q in Counter(scalar_terms(query)).items():
+            df = sum(t in x for x in docs.values())
+            if c[t]:
+                total += q * math.log(1 + (len(docs) - df + 0.5) / (df + 0.5)) * c[t] * 2.5 / (c[t] + 1.5 * (0.25 + 0.75 * sum(c.values()) / avg))
+        if any(c[t] for t in scalar_terms(query)):
+            out[i] = total
+    return out
+
+
+def test_bm25_both_ways(spark, corpus):
+    texts = {r["chunk_id"]: r["content"] for r in corpus.collect()}
+    queries = ask(spark, q1="体验治理的目标", q2="expense days three three")
+    one = {(r["query_id"], r["chunk_id"]): r["bm25"] for r in lexical.bm25_search(corpus, queries).collect()}
+    two = {(r["query_id"], r["chunk_id"]): r["bm25"] for r in lexical.bm25_scores(lexical.build_index(corpus), lexical.query_terms(queries)).collect()}
+    want = {(q, i): s for q, t in (("q1", "体验治理的目标"), ("q2", "expense days three three")) for i, s in scalar_bm25(texts, t).items()}
+    assert one == pytest.approx(want) and two == pytest.approx(want)
+
+
+def test_entity_beats_overlap_and_filters(spark, corpus):
+    queries = ask(spark, q="CPO 体验治理的目标是什么")
+    first = lexical.lexical_search(corpus, queries, 5).orderBy("rank").collect()
+    assert first[0]["chunk_id"] == "a"
+    only = lexical.lexical_search(corpus, queries, 5, {"acl": "hr"}).collect()
+    assert {r["chunk_id"] for r in only} == {"b"}
+    assert only[0]["score"] == pytest.approx(next(r["score"] for r in first if r["chunk_id"] == "b"))
+    assert lexical.lexical_search(corpus, queries, 0).count() == 0
+
+
+def test_heading_earns_a_boost(spark):
+    df = make(spark, ("x", "three days", "Expense Deadline", "a.md", True, []), ("y", "three days", "", "b.md", True, []))
+    rows = {r["chunk_id"]: r["score"] for r in lexical.lexical_search(df, ask(spark, q="expense deadline days"), 5).collect()}
+    w = lambda n: 0.5 + 0.35 * min(n, 8)
+    assert rows["x"] - rows["y"] == pytest.approx(0.75 * (w(7) + w(8)) + 8.0)
+
+
+def test_fallback_scores_all_on_boosts(spark, corpus):
+    rows = lexical.lexical_search(corpus, ask(spark, q="pyth"), 5).collect()
+    assert [(r["chunk_id"], r["score"]) for r in rows] == [("c", pytest.approx(0.5 + 0.35 * 4))]
+
+
+def test_filter_semantics(spark, corpus):
+    ids = lambda c: {r["chunk_id"] for r in corpus.filter(filters.filter_column(corpus, c)).collect()}
+    assert ids({"source": "setup.md"}) == {"c"}
+    assert ids({"source": ["setup.md", "expense.md"], "is_latest": True}) == {"d"}
+    assert ids({"acl": ["hr"]}) == {"b", "d"} and ids({"acl": []}) == set()
+    assert ids({"missing": None}) == {"a", "b", "c", "d"} and ids({"missing": "x"}) == set()
+    assert filters.with_default({"is_latest": False}) == {"is_latest": False} and filters.with_default(None) == {"is_latest": True}
+    assert filters.parse_filter('{"a": 1}') == {"a": 1} and filters.parse_filter(None) == {}
+    with pytest.raises(ValueError):
+        filters.parse_filter("[1]")
+
+
+def test_vector_search(spark):
+    df = spark.createDataFrame([("a", [1.0, 0.0], "x"), ("b", [0.4, 0.9], "x"), ("c", [0.9, 0.1], "y"), ("z", [0.0, 0.0], "x"), ("e", [], "x")], "chunk_id string, vector array<double>, source string")
+    q = spark.createDataFrame([("q", [1.0, 0.0])], "query_id string, vector array<double>")
+    rows = vector.vector_search(df, q, 3).orderBy("rank").collect()
+    assert [r["chunk_id"] for r in rows] == ["a", "c", "b"] and rows[0]["score"] == 1.0
+    assert [r["chunk_id"] for r in vector.vector_search(df, q, 3, {"source": "y"}).collect()] == ["c"]
+    assert {r["chunk_id"]: r["score"] for r in vector.vector_search(df, q, 9).collect()}["z"] == 0.0
+    assert vector.vector_search(df, q, 0).count() == 0
+
+
+def test_block_search_equals_the_plan(spark):
+    rng = np.random.default_rng(0)
+    x = np.round(rng.standard_normal((200, 8)), 1)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "chunk_id bigint, vector array<double>")
+    q = df.filter("chunk_id < 7").withColumnRenamed("chunk_id", "query_id")
+    key = lambda rows: sorted((r["query_id"], r["rank"], r["chunk_id"], round(r["score"], 9)) for r in rows)
+    assert key(vector.block_search(df, q, 5).collect()) == key(vector.vector_search(df, q, 5).collect())
+
+
+HITS = "query_id string, chunk_id string, score double, rank int"
+
+
+def test_fusion_and_diversity(spark):
+    near = spark.createDataFrame([("q", "semantic", 0.99, 1), ("q", "shared", 0.8, 2)], HITS)
+    found = spark.createDataFrame([("q", "shared", 12.0, 1), ("q", "exact", 10.0, 2)], HITS)
+    rows = {r["chunk_id"]: r["score"] for r in fusion.fuse([(near, 1.0), (found, 1.5)]).collect()}
+    assert max(rows, key=rows.get) == "shared" and len(rows) == 3
+    assert rows["shared"] == pytest.approx(1 / 62 + 0.05 * 0.8 / 0.99 + 1.5 / 61 + 0.075)
+    hits = spark.createDataFrame([("q", "a", 10.0, "same", 1), ("q", "b", 9.5, "same", 2), ("q", "c", 9.0, "other", 3)], "query_id string, chunk_id string, score double, source string, first_seen int")
+    assert [r["chunk_id"] for r in fusion.diversify(hits, 2, 1.0).orderBy("rank").collect()] == ["a", "c"]
+
+
+def test_diversity_equals_the_greedy_choice(spark):
+    rng = np.random.default_rng(2)
+    rows = [(str(q), f"{i:02d}", float(rng.integers(0, 6)), f"s{rng.integers(0, 3)}", i) for q in range(30) for i in range(12)]
+    got = {}
+    for r in fusion.diversify(spark.createDataFrame(rows, "query_id string, chunk_id string, score double, source string, first_seen int"), 8, 0.75).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["chunk_id"])
+    for q in range(30):
+        left = sorted((r for r in rows if r[0] == str(q)), key=lambda r: (-r[2], r[4]))
+        picked, used = [], Counter()
+        while left and len(picked) < 8:
+            best = max(range(len(left)), key=lambda k: (left[k][2] - 0.75 * used[left[k][3]], -k))
+            used[left[best][3]] += 1
+            picked.append(left.pop(best)[1])
+        assert got[str(q)] == picked
+
+
+def test_chunk_key(spark):
+    df = spark.createDataFrame([("id", "d", "s", 1), ("", "d", "s", 2), ("", None, "s", 3), (None, None, None, None)], "a string, b string, c string, d int")
+    assert [r[0] for r in df.select(fusion.chunk_key(*[F.col(x) for x in "abcd"])).collect()] == ["id", "d::2", "s::3", "::"]
+
+
+def test_parents_replace_children(spark):
+    hits = spark.createDataFrame([("q", "c1", "p", "one", 0.2), ("q", "c2", "p", "two", 0.9), ("q", "c3", "gone", "orphan", 0.8), ("q", "c4", None, "alone", 0.1)], "query_id string, chunk_id string, parent_id string, content string, score double")
+    parents = spark.createDataFrame([("p", "whole")], "chunk_id string, content string")
+    rows = fusion.expand_parents(hits, parents, 3).orderBy("rank").collect()
+    assert [(r["chunk_id"], r["content"], r["score"]) for r in rows] == [("p", "whole", 0.9), ("c3", "orphan", 0.8), ("c4", "alone", 0.1)]
+
+
+CANDIDATES = "query_id string, chunk_id string, score double, rank int, content string, heading_path string, source string, doc_id string"
+
+
+def test_pairs_promote_a_relevant_low_score(spark):
+    hits = spark.createDataFrame([("q", "far", 0.9, 1, "nothing of that kind", "", "misc.md", "misc.md"), ("q", "near", 0.1, 2, "Expense deadline is three days", "Expense", "expense.md", "expense.md")], CANDIDATES)
+    rows = rerank.rerank(hits, ask(spark, q="expense deadline"), 2).orderBy("rank").collect()
+    assert [r["chunk_id"] for r in rows] == ["near", "far"]
+    # all terms and phrases stand in the content; heading and source hold one of two terms
+    half = 1.84 / (1.84 + 1.96)
+    assert rows[0]["score"] == pytest.approx(round(0.95 * min(1, 0.41 + 0.30 + 0.14 * half + 0.10 * half + 0.05 + 0.10), 6), abs=2e-6)
+
+
+def test_query_profile(spark):
+    row = rerank.query_profile(ask(spark, q="记忆 系统 是什么？ memory")).collect()[0]
+    assert row["q_terms"] == ["记忆", "memory", "系统", "system"] and row["q_compact"] == "记忆系统是什么memory"
+
+
+def test_equal_raw_scores(spark):
+    df = spark.createDataFrame([("p", 2.0), ("p", 2.0), ("z", 0.0), ("m", 1.0), ("m", 3.0)], "query_id string, score double")
+    assert sorted((r[0], r[1]) for r in df.select("query_id", rerank.normalised_raw(F.col("score"))).collect()) == [("m", 0.0), ("m", 1.0), ("p", 1.0), ("p", 1.0), ("z", 0.0)]
+
+
+def test_late_interaction(spark):
+    texts = {"a": "expense deadline three days", "b": "python install", "c": "expense"}
+    hits = spark.createDataFrame([("q", i, 0.5, k, t, "", "", "") for k, (i, t) in enumerate(texts.items(), 1)], CANDIDATES)
+    rows = {r["chunk_id"]: r for r in rerank.rerank(hits, ask(spark, q="expense deadline"), 3, "colbert").collect()}
+    mat = lambda t: np.array([digest_vector(x, 64) for x in dict.fromkeys(scalar_terms(t))])
+    for i, t in texts.items():
+        sim = round(min(1, max(0, ((mat("expense deadline") @ mat(t).T).max(axis=1).mean() + 1) / 2)), 6)
+        assert rows[i]["score"] == pytest.approx(round(0.95 * sim + 0.05, 6), abs=2e-6)
+    assert rows["a"]["rank"] == 1
+
+
+def test_registry(spark):
+    assert [rerank.reranker_name(n) for n in (None, "CE", "cross-encoder", "colbert", "off", "bi_encoder")] == ["pairs", "pairs", "pairs", "late", "none", "none"]
+    with pytest.raises(ValueError):
+        rerank.reranker_name("other")
+    rerank.register_reranker("Mine", lambda hits, queries, top_k: hits.limit(top_k))
+    hits = spark.createDataFrame([("q", str(i), 1.0, i, "", "", "", "") for i in range(1, 26)], CANDIDATES)
+    assert rerank.rerank(hits, ask(spark, q="x"), 20, "none").count() == 20
+    assert rerank.rerank(hits, ask(spark, q="x"), 2, "mine").count() == 2 and rerank.rerank(hits, ask(spark, q="x"), 0).count() == 0

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.llm.common import text_or_empty
-from tessella.llm.tokens import encoder
+from tessella.llm.tokens import balanced, encoder
 from tessella.session import durable, ship_package
 
 SALTS = 256
@@ -112,18 +112,17 @@ def cut_documents(df: DataFrame, vocabulary: str, window: int = 2048, end_id: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for at, texts in balanced(batch.column(1)):
                 rows, take = [], []
-                for k, ids in enumerate(enc.ids(part.column(1).to_pylist())):
+                for k, ids in enumerate(enc.ids(texts)):
                     ids += tail
                     n = len(ids) >> 2
                     for s in range(0, n, window):
                         rows.append((s, min(window, n - s), zlib.crc32(ids[4 * s : 4 * (s + window)]), n))
-                        take.append(k)
+                        take.append(at + k)
                 cols = list(zip(*rows, strict=True)) or [()] * 4
                 yield pa.record_batch(
-                    [part.column(0).take(pa.array(take, pa.int32())), *(pa.array(c, pa.int64()) for c in cols)],
+                    [batch.column(0).take(pa.array(take, pa.int32())), *(pa.array(c, pa.int64()) for c in cols)],
                     [key, "start", "length", "ids_crc32", "doc_tokens"],
                 )
 

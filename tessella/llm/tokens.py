@@ -1,16 +1,17 @@
-"""Token counts and ids with a public byte-level BPE vocabulary, in Arrow batches.
+"""Token counts and ids with a public byte-level BPE vocabulary, in Arrow batches balanced by bytes.
 
-The library's own pre-tokeniser cuts a text into pieces that never merge with one another, so cutting there is
-safe. Texts of a proven alphabet are cut by an equivalent ``re`` pattern; each distinct piece is encoded by the
-library once, in batches balanced by bytes, and remembered by the worker up to a bound. Any other text (special
-strings, rare scripts, unusual numerals or control characters) is encoded by the library as a whole. Both ways
-give what the library gives for the whole text; ``tests/llm`` compares them on random texts.
+A text of the alphabet on which both agree is encoded by the compiled BPE that is given the same vocabulary as
+ranks; any other text (special strings, rare scripts, unusual numerals, control characters) is encoded by the
+vocabulary's own library. A long text is split where no piece can reach across: before a single blank between two
+characters that are not white space. Both ways give what the library gives for the whole text; ``tests/llm``
+compares them on random texts and on every safe character.
 
 Defined results: null is the empty text (0 tokens); repeated rows stay; only the key and text columns are read.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -22,54 +23,86 @@ from pyspark.sql import DataFrame
 from tessella.llm.common import text_or_empty
 from tessella.session import ship_package
 
-#: Characters for which ``re`` and the tokeniser's pattern agree on letters, digits and white space.
+#: Characters for which the two pre-tokenisers agree on letters, digits and white space; anything else is unsafe.
 _UNSAFE = re.compile(r"[^\t\n\r\x20-\x7e\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-ɏΑ-ΡΣ-ώА-я‐-‧‰-›€ぁ-ゖァ-ヺ一-龥]|<\|")
-_PIECE = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_CUT = re.compile(r"(?<=\S) (?=\S)")
 
-#: Pieces a worker remembers, the longest of them, and the bytes of one library call.
-MEMORY, LONGEST, CALL_BYTES = 250_000, 48, 1 << 20
+#: Characters of one part of a long text, and of one batch handed to an encoder.
+PART_CHARS, BATCH_CHARS = 1 << 16, 1 << 20
+
+
+def safe_parts(text: str, size: int = PART_CHARS) -> list[str]:
+    """Parts of about ``size`` characters whose tokens, put together, are those of the text."""
+    out, at = [], 0
+    while len(text) - at > size:
+        cut = _CUT.search(text, at + size)
+        if cut is None:
+            break
+        out.append(text[at : cut.start()])
+        at = cut.start()
+    return [*out, text[at:]]
+
+
+def byte_ranks(spec: dict) -> dict[bytes, int]:
+    """Ranks by bytes of a byte-level BPE file, without its special tokens."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in shown]
+    back = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+    special = {t["content"] for t in spec["added_tokens"]}
+    return {bytes(back[c] for c in token): rank for token, rank in spec["model"]["vocab"].items() if token not in special}
 
 
 class Encoder:
-    """One per worker and vocabulary; holds the library's tokeniser and the remembered pieces."""
+    """One per worker and vocabulary."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-
-    def _library(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian 32-bit bytes; calls are balanced by bytes."""
-        out: list[bytes] = []
-        batch: list[str] = []
-        held = 0
-        for t in texts:
-            if batch and held + len(t) > CALL_BYTES:
-                out += [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(batch, add_special_tokens=False)]
-                batch, held = [], 0
-            batch.append(t)
-            held += len(t)
-        if batch:
-            out += [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(batch, add_special_tokens=False)]
+        with open(path, encoding="utf-8") as f:
+            ranks = byte_ranks(json.load(f))
+        self.compiled = tiktoken.Encoding("ranks", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def _one(self, text: str) -> list[int]:
+        if _UNSAFE.search(text):
+            return self.tokenizer.encode(text, add_special_tokens=False).ids
+        if len(text) <= PART_CHARS:
+            return self.compiled.encode_ordinary(text)
+        return [i for part in safe_parts(text) for i in self.compiled.encode_ordinary(part)]
+
+    def counts(self, texts: list[str]) -> list[int]:
+        """Lengths only, of each whole text; special texts go to the library in one batch."""
+        special = [i for i, t in enumerate(texts) if _UNSAFE.search(t)]
+        out = [0] * len(texts)
+        for i, e in zip(special, self.tokenizer.encode_batch_fast([texts[i] for i in special], add_special_tokens=False), strict=True):
+            out[i] = len(e)
+        skip = set(special)
+        for i, t in enumerate(texts):
+            if i not in skip:
+                out[i] = sum(len(self.compiled.encode_ordinary(p)) for p in safe_parts(t))
         return out
 
     def ids(self, texts: list[str]) -> Iterator[bytes]:
-        """The ids of each whole text, in order."""
-        for at in range(0, len(texts), 64):
-            group = texts[at : at + 64]
-            cut = [None if _UNSAFE.search(t) else _PIECE.findall(t) for t in group]
-            if len(self.known) > MEMORY:
-                self.known = {}
-            known = self.known
-            new = list(dict.fromkeys(p for pieces in cut if pieces for p in pieces if p not in known))
-            extra = {}
-            for piece, got in zip(new, self._library(new), strict=True):
-                (known if len(piece) <= LONGEST else extra)[piece] = got
-            look = (lambda p: known.get(p) or extra[p]) if extra else known.__getitem__
-            for t, pieces in zip(group, cut, strict=True):
-                yield self._library([t])[0] if pieces is None else b"".join(map(look, pieces))
+        """The ids of each whole text as little-endian 32-bit bytes, in order."""
+        for t in texts:
+            yield np.array(self._one(t), "<u4").tobytes()
+
+
+def balanced(texts: pa.Array, most: int = BATCH_CHARS) -> Iterator[tuple[int, list[str]]]:
+    """Runs (start, texts) of about ``most`` characters; a longer text is a run of its own."""
+    at, held, size = 0, [], 0
+    for i, x in enumerate(texts):
+        t = x.as_py()
+        if held and size + len(t) > most:
+            yield at, held
+            at, held, size = i, [], 0
+        held.append(t)
+        size += len(t)
+    if held:
+        yield at, held
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -89,13 +122,11 @@ def count_tokens(df: DataFrame, vocabulary: str, limit: int = 1024, key: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                texts = part.column(1).to_pylist()
-                counts = [len(b) >> 2 for b in enc.ids(texts)]
+            for at, texts in balanced(batch.column(1)):
+                counts = enc.counts(texts)
                 sizes = [len(t) if t.isascii() else len(t.encode()) for t in texts]
                 yield pa.record_batch(
-                    [part.column(0), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64()), pa.array([c > limit for c in counts], pa.bool_())],
+                    [batch.column(0).slice(at, len(texts)), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64()), pa.array([c > limit for c in counts], pa.bool_())],
                     [key, "n_bytes", "n_tokens", "over_limit"],
                 )
 

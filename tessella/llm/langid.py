@@ -118,14 +118,8 @@ def fit(words: list[Counter[str]], langs: list[str], clusters: int = 4, features
     """Fit to texts given as word counts; languages are ordered by frequency, then name."""
     order = [lang for lang, _ in sorted(Counter(langs).items(), key=lambda p: (-p[1], p[0]))]
     df: Counter[str] = Counter()
-    per_word: dict[str, frozenset[str]] = {}
     for counts in words:
-        mine: set[str] = set()
-        for w in counts:
-            if w not in per_word:
-                per_word[w] = frozenset(grams(w))
-            mine |= per_word[w]
-        df.update(mine)
+        df.update({g for w in counts for g in grams(w)})
     chosen = sorted(df, key=lambda g: (-df[g], g))[:features]
     idf = np.array([np.log((1 + len(words)) / (1 + df[g])) + 1 for g in chosen])
     model = CentroidModel(order, np.empty(0, int), np.empty((0, len(chosen)), np.float32), np.zeros(len(order)), {g: i for i, g in enumerate(chosen)}, idf)

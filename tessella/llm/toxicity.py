@@ -5,7 +5,7 @@ A gram's log-count ratio between toxic and other training texts scales it; grams
 are left out; a logistic regression learns weights of the scaled features. Only text enters a score.
 
 The fit uses at most ``per_class`` labelled rows of each label (those whose keys hash lowest), the bound of the
-sample; weights restore the classes' true ratio. The model (at most ``max_features`` grams) is small by its bound.
+sample; weights restore the true ratio of the labels. The model (at most ``max_features`` grams) is small by its bound.
 
 Defined results: a null or empty text has no features and gets the intercept's score; a null label is no label; a
 document with labels of both kinds counts as toxic; without both classes to learn from every score is the share of
@@ -113,10 +113,15 @@ def gram_ratios(sample: DataFrame, sizes: tuple[int, int], support: float, most:
             part = names[at : at + 50_000]
             yield pa.record_batch([pa.array(part, pa.string()), pa.array([toxic[g] for g in part], pa.int64()), pa.array([other[g] for g in part], pa.int64())], ["g", "p", "q"])
 
-    n0, n1 = (F.lit(float(n + 1)) for n in sizes)
-    counted = sample.select("y", "w").mapInArrow(count, "g string, p bigint, q bigint").groupBy("g").agg((F.sum("p") + 0.5).alias("p"), (F.sum("q") + 0.5).alias("q"))
-    ratio = counted.select("g", (F.log(F.col("p") / n1) - F.log(F.col("q") / n0)).alias("r"), F.sqrt(1 / F.col("p") - 1 / n1 + 1 / F.col("q") - 1 / n0).alias("e"))
-    strong = ratio.select("g", "r", F.round(F.abs("r") / F.col("e"), 9).alias("z")).filter(F.col("z") >= support)
+    n0, n1 = (F.lit(float(n)) for n in sizes)
+    counted = sample.select("y", "w").mapInArrow(count, "g string, p bigint, q bigint").groupBy("g").agg(F.sum("p").cast("double").alias("p"), F.sum("q").cast("double").alias("q"))
+    ratio = F.log((F.col("p") + 0.5) / (n1 + 1)) - F.log((F.col("q") + 0.5) / (n0 + 1))
+    part = lambda x, row, column: F.when(x > 0, x * F.log(x * (n0 + n1) / (row * column))).otherwise(F.lit(0.0))
+    with_it = F.col("p") + F.col("q")
+    without = n0 + n1 - with_it
+    # The root of twice the deviance of the 2 x 2 table: how well the ratio is supported, zero counts included.
+    deviance = part(F.col("p"), with_it, n1) + part(F.col("q"), with_it, n0) + part(n1 - F.col("p"), without, n1) + part(n0 - F.col("q"), without, n0)
+    strong = counted.select("g", ratio.alias("r"), F.round(F.sqrt(F.greatest(F.lit(0.0), 2 * deviance)), 9).alias("z")).filter(F.col("z") >= support)
     return [(r["g"], r["r"]) for r in strong.orderBy(F.desc("z"), "g").limit(most).collect()]
 
 

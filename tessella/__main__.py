@@ -52,7 +52,7 @@ def parser() -> argparse.ArgumentParser:
     cases.add_argument("cases")
     cases.add_argument("--gates", help="JSON file of thresholds")
     cases.add_argument("--output")
-    cases.add_argument("--fail-on-regression", action="store_true")
+    cases.add_argument("--fail-on-regression", default=False, action="store_true")
     return top
 
 
@@ -65,8 +65,8 @@ def _labels(args: argparse.Namespace) -> dict[str, list[str]]:
     return {"relevant_sources": args.relevant_sources, "relevant_doc_ids": args.relevant_doc_ids, "relevant_chunk_ids": args.relevant_chunk_ids}
 
 
-def main(argv: list[str] | None = None) -> int:
-    args = parser().parse_args(argv)
+def main(arguments: "list[str] | None" = None) -> int:
+    args = parser().parse_args(arguments)
     settings = _settings(args)
     spark = get_session()
     out: object

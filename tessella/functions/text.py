@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 CJK = "\\u4e00-\\u9fff"
 RUN = f"([A-Za-z0-9_]+|[{CJK}]+)"
-STOP_TERMS = ("的", "了", "是", "在", "和", "与", "或", "及", "要", "几", "什么", "怎么", "如何", "是否")
+STOP_TERMS = tuple("几 要 及 或 与 和 在 是 了 的 是否 如何 怎么 什么".split())
 #: Python's str.strip() also removes the four ASCII separators.
 _BLANK = "[\\s\\x1c-\\x1f]"
 LINE_BREAK = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x85\\u2028\\u2029]"

@@ -15,14 +15,14 @@ from tessella.operators.blocks import parse_blocks, with_heading_path
 class ChunkPolicy:
     text_size: int = 512
     text_overlap: int = 80
-    code_size: int = 800
-    code_overlap: int = 120
-    table_size: int = 1000
     min_chunk: int = 40
     hard_max: int = 1200
+    code_size: int = 800
+    table_size: int = 1000
 
 
 _NONE = "array<string>"
+_DEFINITION = "(?U)^\\s*(?:" + "|".join(sorted("private public function func class def".split())) + ") "
 
 
 def pack_sentences(text: Column, size: int, overlap: int) -> Column:
@@ -85,7 +85,7 @@ def split_code(text: Column, policy: ChunkPolicy) -> Column:
         lines,
         F.array().cast("array<array<string>>"),
         lambda g, ln: F.when(
-            (F.size(g) == 0) | ln.rlike("(?U)^\\s*(def |class |func |function |public |private )"), F.concat(g, F.array(F.array(ln)))
+            (F.size(g) == 0) | ln.rlike(_DEFINITION), F.concat(g, F.array(F.array(ln)))
         ).otherwise(F.concat(F.slice(g, 1, F.size(g) - 1), F.array(F.concat(F.element_at(g, -1), F.array(ln))))),
     )
     joined = F.transform(groups, lambda g: F.array_join(g, "\n"))

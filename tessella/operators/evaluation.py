@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from tessella.functions.text import squeeze
 
 
-def valid_ks(values: Sequence[int]) -> tuple[int, ...]:
-    return tuple(sorted({int(v) for v in values if int(v) > 0}))
+def valid_ks(wanted: Sequence[int]) -> "tuple[int, ...]":
+    return tuple(sorted({int(v) for v in wanted if int(v) > 0}))
 
 
 def mark_relevant(hits: DataFrame, labels: DataFrame) -> DataFrame:
@@ -76,14 +76,14 @@ def summarise_reports(reports: DataFrame, ks: Sequence[int] = (1, 3, 5)) -> Data
 class Gates:
     """Release gates: what a suite's metrics must reach or not exceed."""
 
-    min_case_pass_rate: float = 1.0
+    max_p95_case_latency_ms: float = 250.0
+    min_mrr: float = 0.85
+    max_forbidden_term_violation_rate: float = 0.0
     min_hit_rate_at_1: float = 0.75
+    min_grounded_answer_rate: float = 1.0
     min_hit_rate_at_3: float = 1.0
-    min_mrr: float = 0.85
+    min_case_pass_rate: float = 1.0
     min_answer_term_recall: float = 1.0
-    min_grounded_answer_rate: float = 1.0
-    max_forbidden_term_violation_rate: float = 0.0
-    max_p95_case_latency_ms: float = 250.0
 
     @classmethod
     def load(cls, source: str | Mapping[str, float]) -> Gates:

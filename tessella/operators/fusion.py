@@ -13,12 +13,11 @@ from tessella.operators.lexical import rank_hits
 
 @dataclass(frozen=True)
 class FusionConfig:
-    candidate_k: int = 100
-    rrf_k: int = 60
-    vector_weight: float = 1.0
+    rank_offset: int = 60
     lexical_weight: float = 1.5
-    raw_score_weight: float = 0.05
-    source_diversity_penalty: float = 0.01
+    vector_weight: float = 1.0
+    score_share: float = 0.05
+    diversity_penalty: float = 0.01
 
 
 def chunk_key(chunk_id: Column, doc_id: Column, source: Column, chunk_index: Column) -> Column:
@@ -30,20 +29,20 @@ def chunk_key(chunk_id: Column, doc_id: Column, source: Column, chunk_index: Col
 def fuse(channels: list[tuple[DataFrame, float]], config: FusionConfig = FusionConfig()) -> DataFrame:  # noqa: B008
     """(query_id, chunk_id, score, first_seen) of ranked channels (query_id, chunk_id, score, rank) and their weights.
 
-    Each hit adds weight / (rrf_k + rank) and a share of its score relative to the channel's largest magnitude.
+    Each hit adds weight / (rank_offset + rank) and a share of its score relative to the channel's largest magnitude.
     ``first_seen`` orders ties: earlier channels first, then rank.
     """
     parts = []
     for i, (hits, weight) in enumerate(channels):
         most = F.max(F.abs("score")).over(Window.partitionBy("query_id"))
         top = F.when(most == 0, F.lit(1.0)).otherwise(most)
-        points = F.lit(weight) / (F.lit(config.rrf_k) + F.col("rank")) + F.lit(weight * config.raw_score_weight) * F.col("score") / top
+        points = F.lit(weight) / (F.lit(config.rank_offset) + F.col("rank")) + F.lit(weight * config.score_share) * F.col("score") / top
         parts.append(hits.select("query_id", "chunk_id", points.alias("points"), F.struct(F.lit(i).alias("channel"), F.col("rank").cast("int").alias("rank")).alias("seen")))
     union = reduce(lambda a, b: a.unionByName(b), parts)
     return union.groupBy("query_id", "chunk_id").agg(F.sum("points").alias("score"), F.min("seen").alias("first_seen"))
 
 
-def diversify(hits: DataFrame, top_k: int, penalty: float = FusionConfig.source_diversity_penalty, keys: tuple[str, ...] = ("query_id",)) -> DataFrame:
+def diversify(hits: DataFrame, top_k: int, penalty: float = FusionConfig.diversity_penalty, keys: tuple[str, ...] = ("query_id",)) -> DataFrame:
     """Rank hits (score, source, first_seen) with ``penalty`` off for each earlier hit of the source; scores stay as they are.
 
     The greedy choice equals sorting by score - penalty x (place within the source), for penalty >= 0.
@@ -58,7 +57,7 @@ def diversify(hits: DataFrame, top_k: int, penalty: float = FusionConfig.source_
 def hybrid(vector_hits: DataFrame, lexical_hits: DataFrame, chunks: DataFrame, top_k: int, config: FusionConfig = FusionConfig()) -> DataFrame:  # noqa: B008
     """(query_id, chunk_id, score, first_seen, source, rank) of both channels."""
     fused = fuse([(vector_hits, config.vector_weight), (lexical_hits, config.lexical_weight)], config)
-    return diversify(fused.join(chunks.select("chunk_id", "source"), "chunk_id", "left"), top_k, config.source_diversity_penalty)
+    return diversify(fused.join(chunks.select("chunk_id", "source"), "chunk_id", "left"), top_k, config.diversity_penalty)
 
 
 def expand_parents(hits: DataFrame, parents: DataFrame, top_k: int) -> DataFrame:

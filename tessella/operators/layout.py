@@ -95,7 +95,7 @@ def page_blocks(pages: DataFrame) -> DataFrame:
     )
 
 
-_PUNCT = "，。！？；：、（）《》“”‘’"
+_PUNCT = "、。，：；！？《》（）‘’“”"
 _CLUSTER = f"\\u4e00-\\u9fff{_PUNCT}"
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_ODD = "(?U)[^\\w\\s\\u4e00-\\u9fff。，、；：？！“”（）()\\[\\]{}<>/\\\\\\-+*=.,!?'\"%$#@&|~`^]"
+_USUAL = "，。；：、！？（）“”" + "!$&'()*+,./<=>?@[]^`{|}~%#" + '"-' + "\\"
+_ODD = "(?U)[^\\w\\s\\u4e00-\\u9fff" + "".join("\\" + c for c in _USUAL) + "]"
 
 
 def page_signals(pages: DataFrame, text: str = "text", ocr: Column | None = None) -> DataFrame:

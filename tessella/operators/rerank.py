@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from tessella.functions.text import CJK, compact, let, phrases, terms
 from tessella.functions.vectors import digest_embedding
 
-_ASKING = ("什么", "怎么", "如何", "是否", "几", "多少", "多久", "哪个", "哪些", "吗", "呢")
-_ALIASES = {"记忆": "memory", "系统": "system", "智能体": "agent", "代理": "agent"}
+_ASKING = "吗 呢 几 哪些 哪个 多久 多少 是否 如何 怎么 什么".split()
+_ALIASES = {"代理": "agent", "智能体": "agent", "系统": "system", "记忆": "memory"}
 
 
 def clamp(c: Column) -> Column:
@@ -159,15 +159,19 @@ _NAMES = {"ce": "pairs", "crossencoder": "pairs", "cross_encoder": "pairs", "pai
 RERANKERS: dict[str, Callable[..., DataFrame]] = {"pairs": rerank_pairs, "late": rerank_late, "none": keep_first}
 
 
+def _key(name: str) -> str:
+    return name.replace("-", "_").lower().strip()
+
+
 def register_reranker(name: str, reranker: Callable[..., DataFrame]) -> None:
     """Add a reranker (hits, queries, top_k) -> hits under its own name."""
-    key = name.strip().lower().replace("-", "_")
+    key = _key(name)
     RERANKERS[key] = reranker
     _NAMES[key] = key
 
 
 def reranker_name(name: str | None) -> str:
-    key = (name or "cross_encoder").strip().lower().replace("-", "_")
+    key = _key(name or "cross_encoder")
     if key not in _NAMES:
         raise ValueError(f"unknown reranker {name!r}; known: {', '.join(sorted(_NAMES))}")
     return _NAMES[key]

@@ -27,7 +27,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-# --- shared parts ----------------------------------------------------------------------------------------------------
+# == shared parts ==
 _TOKENS = "list_transform(regexp_extract_all({0}, '[A-Za-z0-9_]+'), lambda t: lower(t))"
 _ESTIMATE = "(CAST(floor(len(regexp_extract_all({0}, '[\\x{{4e00}}-\\x{{9fff}}]')) * 1.5::DOUBLE + len(regexp_extract_all({0}, '[A-Za-z0-9_]+')) * 1.3::DOUBLE) AS INTEGER) + 1)"
 
@@ -65,7 +65,7 @@ ranked AS (SELECT query_id, chunk_id, round(bm25, 6) AS score, row_number() OVER
 top AS (SELECT * FROM ranked WHERE rank <= 10)"""
 
 
-# --- text and statistics ---------------------------------------------------------------------------------------------
+# == text and statistics ==
 @query(f"SELECT doc_id, {_ESTIMATE.format('text')} AS tokens FROM documents")
 def token_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", fx.token_estimate("text").alias("tokens"))
@@ -111,7 +111,7 @@ def char_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.select("doc_id", F.col("chunk").cast("bigint").alias("chunk"), F.sha1("content").alias("digest"))
 
 
-# --- lexical ---------------------------------------------------------------------------------------------------------
+# == lexical ==
 @query(_TOP10 + " SELECT query_id, chunk_id, score, rank::INT AS rank FROM top")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _top(spark, sf_dir, 10)
@@ -154,7 +154,7 @@ def lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.groupBy("query_id").agg(F.round(F.max("score"), 4).alias("best"), F.count(F.lit(1)).alias("found"))
 
 
-# --- vectors ---------------------------------------------------------------------------------------------------------
+# == vectors ==
 _NEAR = """
 pairs AS (SELECT q.vec_id AS query_id, e.vec_id AS chunk_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score
   FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0),
@@ -187,7 +187,7 @@ def feature_hash_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hashed.groupBy("doc_id", "i").agg(F.sum("v").alias("value")).filter("value <> 0")
 
 
-# --- fusion ----------------------------------------------------------------------------------------------------------
+# == fusion ==
 _CHANNELS = f"""WITH {_BM25},
 lex AS (SELECT query_id, chunk_id, round(bm25, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 6) DESC, chunk_id) AS rank FROM scored),
 {_NEAR},
@@ -236,7 +236,7 @@ def parent_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fusion.expand_parents(hits, docs.filter("chunk_id % 5 = 0").select("chunk_id", "content"), 10).select("query_id", "chunk_id", "score", "rank")
 
 
-# --- reranking -------------------------------------------------------------------------------------------------------
+# == reranking ==
 @query(
     _TOP10
     + """, span AS (SELECT *, min(score) OVER (PARTITION BY query_id) AS lo, max(score) OVER (PARTITION BY query_id) AS hi FROM top)
@@ -300,7 +300,7 @@ def late_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rerank.rerank_late(hits, _queries(spark, sf_dir), 5).select("query_id", "chunk_id", "score", "rank")
 
 
-# --- evaluation ------------------------------------------------------------------------------------------------------
+# == evaluation ==
 _GRADED = (
     _TOP10
     + """, graded AS (SELECT top.*, d.source, contains(d.text, b.text) AS relevant FROM top JOIN documents d ON chunk_id = d.doc_id JOIN benchmark b ON item_id = query_id),
@@ -347,7 +347,7 @@ def gate_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.gate_check(metrics, gates).withColumn("actual", F.round("actual", 6))
 
 
-# --- sync ------------------------------------------------------------------------------------------------------------
+# == sync ==
 def _versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Two states of the corpus: the older lacks every seventh document and has other texts for every fifth; the newer lacks every eleventh."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text", F.col("doc_id").alias("n"))
@@ -422,7 +422,7 @@ def export_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("document_count", "total_chunk_count", "raw_characters")
 
 
-# --- prompts and memory ----------------------------------------------------------------------------------------------
+# == prompts and memory ==
 @query(
     """SELECT conv_id, turn, len(h) AS history, sha1(coalesce(array_to_string(list_transform(h, lambda x: x.role || ':' || x.text), '|'), '')) AS digest
 FROM (SELECT conv_id, turn, coalesce(list({'role': role, 'text': text}) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING), []) AS h FROM conversations)"""
@@ -455,9 +455,9 @@ def extractive_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("query_id", prompt.extractive_answer(F.col("messages")).alias("answer"))
 
 
-# --- quality ---------------------------------------------------------------------------------------------------------
+# == quality ==
 _HEALTH = """health AS (SELECT doc_id, lang, length(text) AS n,
-  len(regexp_extract_all(text, '[^\\pL\\pM\\pN\\pPc\\s\\x{4e00}-\\x{9fff}。，、；：？！“”（）()\\[\\]{}<>/\\\\\\-+*=.,!?''"%$#@&|~`^]'))::DOUBLE / nullif(length(text), 0) AS g,
+  len(regexp_extract_all(text, '[^\\pL\\pM\\pN\\pPc\\s\\x{4e00}-\\x{9fff}，。；：、！？（）“”!$&''()*+,./<=>?@\\[\\]`{|}~%#"\\-\\\\^]'))::DOUBLE / nullif(length(text), 0) AS g,
   len(regexp_extract_all(text, '[A-Za-z]-\\n[A-Za-z]')) AS b FROM documents),
 signal AS (SELECT doc_id, lang, n AS char_count, round(coalesce(g, 1), 4) AS garbled_ratio, b AS hyphen_breaks,
   CASE WHEN n < 10 THEN 0 ELSE round(greatest(0, 1 - least(0.5::DOUBLE, coalesce(g, 1) * 5) - least(0.2::DOUBLE, b * 0.01::DOUBLE)), 4) END AS health_score FROM health)"""
@@ -491,7 +491,7 @@ def qa_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.review_report(results)
 
 
-# --- structure -------------------------------------------------------------------------------------------------------
+# == structure ==
 _MARKUP = """concat('# Doc ', doc_id, chr(10), text, chr(10), '## ', source, chr(10), '| a | b |', chr(10), '| ', lang, ' | 2 |', chr(10), '```py', chr(10), '# not a heading', chr(10), '```', chr(10), '![', lang, '](x.png)')"""
 
 

@@ -51,7 +51,7 @@ class KnowledgeBase:
         self.store = SnapshotStore(spark, self.settings.store)
         self.provider = provider(self.settings.provider)
 
-    # --- indexing ---------------------------------------------------------------------------------------------------
+    # == indexing ==
     def sync(self, docs: DataFrame, acl: Sequence[str] | None = None, now: int = 0) -> IndexResult:
         """Bring the store in line with ``docs``(doc_id, text): only new and changed documents are chunked and embedded."""
         docs = durable(docs.select("doc_id", "text"))
@@ -97,7 +97,7 @@ class KnowledgeBase:
         chunks = self.store.read("chunks")
         return 0 if chunks is None else chunks.count()
 
-    # --- retrieval --------------------------------------------------------------------------------------------------
+    # == retrieval ==
     def _chunks(self) -> DataFrame:
         chunks = self.store.read("chunks")
         if chunks is None:

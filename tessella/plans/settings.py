@@ -13,7 +13,7 @@ from tessella.functions.vectors import digest_embedding, hashed_embedding
 from tessella.operators.prompt import echo_answer, extractive_answer
 from tessella.operators.rerank import reranker_name
 
-_TRUE = {"1", "true", "yes", "y", "on"}
+_TRUE = frozenset("on true yes y 1".split())
 
 
 @dataclass(frozen=True)

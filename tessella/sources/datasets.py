@@ -47,7 +47,8 @@ def read_labelled_queries(spark: SparkSession, path: str) -> DataFrame:
 
 def check_cases(cases: DataFrame) -> None:
     """Every rule that an evaluation case must keep, as one aggregation over the (small) set."""
-    slug = "^[a-z0-9]+(?:-[a-z0-9]+)*$"
+    word = "[0-9a-z]+"
+    slug = f"^{word}(-{word})*$"
     blank = lambda c: F.coalesce(trim_blank(c), F.lit("")) == ""
     sources = F.transform("documents", lambda d: d["source"])
     repeated = lambda c: F.size(F.array_distinct(c)) < F.size(c)
@@ -106,5 +107,5 @@ def export_summary(documents: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def write_report(report: dict, path: str) -> None:
-    with open(path, "w", encoding="utf-8") as f:
+    with open(path, mode="w", encoding="utf-8") as f:
         json.dump(report, f, ensure_ascii=False, indent=2, default=str)

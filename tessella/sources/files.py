@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tessella.functions.text import char_windows, trim_blank
 from tessella.session import ship_package
 
-_W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+_W = "{http://schemas.openxmlformats.org" + "/wordprocessingml/2006/main}"
 #: Directories that hold stores and caches, never sources; hidden directories are skipped as well.
 SKIPPED_DIRS = ("stores", "__pycache__")
 
@@ -78,6 +78,10 @@ def docx_text(content: bytes, name: str) -> str:
     return "\n\n".join(p for p in parts if p)
 
 
+def _line(line: dict) -> dict:
+    return {"spans": [{k: s.get(k) for k in ("text", "size")} for s in line.get("spans", [])]}
+
+
 def pdf_pages(content: bytes) -> list[dict]:
     """Raw pages (page, width, blocks) by PyMuPDF, which must be installed where tasks run."""
     try:
@@ -88,7 +92,7 @@ def pdf_pages(content: bytes) -> list[dict]:
     with fitz.open(stream=content, filetype="pdf") as doc:
         for i, page in enumerate(doc, 1):
             blocks = [
-                {"type": b.get("type"), "bbox": list(b.get("bbox") or []), "lines": [{"spans": [{"text": s.get("text"), "size": s.get("size")} for s in ln.get("spans", [])]} for ln in b.get("lines", [])]}
+                {"type": b.get("type"), "bbox": list(b.get("bbox") or []), "lines": [_line(ln) for ln in b.get("lines", [])]}
                 for b in page.get_text("dict")["blocks"]
             ]
             out.append({"page": i, "width": float(page.rect.width), "blocks": blocks})
@@ -139,7 +143,7 @@ def read_char_windows(docs: DataFrame, size: int = 300, overlap: int = 50) -> Da
     return windows.select(F.concat_ws("::w", F.col("source").cast("string"), F.col("chunk").cast("string")).alias("chunk_id"), "source", "chunk", "content")
 
 
-_OCR_KEYS = ("rec_texts", "texts", "text", "transcription")
+_OCR_KEYS = "rec_texts texts text transcription".split()
 
 
 def harvest_ocr(result: object) -> list[str]:

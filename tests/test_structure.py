@@ -22,11 +22,11 @@ def scalar_blocks(text):
             out.append(("text", body, 0, "", held[0][0], end))
         held.clear()
 
-    fence = lambda s: re.match(r"^```(\w*)\s*$", s.strip())
-    row = lambda s: re.match(r"^\s*\|.*\|\s*$", s)
+    fence = lambda s: re.fullmatch(r"`{3}(\w*)\s*", s.strip())
+    row = lambda s: re.fullmatch(r"\s*[|].*[|]\s*", s)
     while i < len(lines):
         line, start = lines[i], i
-        image = re.match(r'^\s*!\[([^\]]*)\]\((\S+?)(?:\s+"([^"]*)")?\)\s*$', line)
+        image = re.fullmatch(r'\s*!\[([^]]*)][(](\S+?)(?:\s+"([^"]*)")?[)]\s*', line)
         if fence(line):
             flush(i)
             i += 1
@@ -34,7 +34,7 @@ def scalar_blocks(text):
                 i += 1
             out.append(("code", "\n".join(lines[start + 1 : i]), 0, fence(line)[1], start, i + 1))
             i += 1
-        elif m := re.match(r"^(#{1,6})\s+(.*)$", line):
+        elif m := re.fullmatch(r"(#{1,6})\s+(.*)", line):
             flush(i)
             out.append(("heading", m[2].strip(), len(m[1]), "", i, i + 1))
             i += 1
@@ -73,7 +73,7 @@ def scalar_pack(text, size, overlap):
     if estimate(text) <= size:
         return [text]
     out, held, total = [], [], 0
-    for s in re.split(r"(?<=[。！？.!?\n])", text):
+    for s in re.split(r"(?<=[\n.!?。！？])", text):
         if held and total + estimate(s) > size:
             out.append("".join(held))
             k = len(held) - 1
@@ -103,14 +103,14 @@ def scalar_code(text, p):
         return [text]
     groups = []
     for line in text.splitlines():
-        if not groups or re.match(r"^\s*(def |class |func |function |public |private )", line):
+        if not groups or re.match(r"\s*(class|def|func|function|private|public) ", line):
             groups.append([])
         groups[-1].append(line)
     out, held, total = [], [], 0
     for g in groups:
         n = estimate("\n".join(g))
         if held and total + n > p.code_size:
-            out.append("\n".join(held))
+            out += ["\n".join(held)]
             held, total = [], 0
         held += g
         total += n
@@ -121,11 +121,11 @@ def scalar_table(text, p):
     rows = [r for r in text.splitlines() if r.strip()]
     if estimate(text) <= p.table_size or len(rows) < 2:
         return [text]
-    head = rows[: 2 if re.match(r"^\s*\|[\s\-:|]+\|\s*$", rows[1]) else 1]
+    head = rows[: 2 if re.fullmatch(r"\s*[|][-:|\s]+[|]\s*", rows[1]) else 1]
     out, held, total = [], [], estimate("".join(head))
     for r in rows[len(head) :]:
         if held and total + estimate(r) > p.table_size:
-            out.append("\n".join(head + held))
+            out += ["\n".join(head + held)]
             held, total = [], estimate("".join(head))
         held.append(r)
         total += estimate(r)

@@ -341,7 +341,7 @@ def parse_stream(data: bytes) -> Stream:
     return out
 
 
-# --- storing a payload -------------------------------------------------------------------------------------------
+# == storing a payload ==
 
 _OWNER = "payload.bytes"
 _SIDE = 17

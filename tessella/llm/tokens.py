@@ -56,13 +56,13 @@ def byte_ranks(spec: dict) -> dict[bytes, int]:
 class Encoder:
     """One per worker and vocabulary."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, vocabulary: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import tiktoken
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        with open(path, encoding="utf-8") as f:
+        self.tokenizer = Tokenizer.from_file(vocabulary)
+        with open(vocabulary, encoding="utf-8") as f:
             ranks = byte_ranks(json.load(f))
         self.compiled = tiktoken.Encoding("ranks", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
 

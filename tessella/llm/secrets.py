@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm.common import text_or_empty
+from tessella.session import durable
 
 _KEYS = "(?:" + "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in k) for k in ("password", "passwd", "secret", "token")) + "|[aA][pP][iI]_?[kK][eE][yY])"
 _BEFORE = _KEYS + r"""["']?\x20*[:=]\x20*["']?"""
@@ -113,6 +114,7 @@ def labelled_samples(documents: DataFrame, sample_rows: int = 1000, generated: i
     random = ids.select(F.explode(F.array(F.substring(digest, F.lit(1), size), F.substring(b64, F.lit(1), size), F.upper(F.substring(F.regexp_replace(b64, "[+/]", "7"), F.lit(1), size)))).alias("text"))
     keys = documents.select(F.col(key).alias("k")).filter(F.col("k").isNotNull()).orderBy(F.xxhash64("k"), "k").limit(sample_rows).distinct()
     chosen = documents.select(F.col(key).alias("k"), text_or_empty(text).alias("t")).join(F.broadcast(keys), "k")
+    chosen = durable(chosen)  # else the optimiser moves the patterns below in front of the join, to all documents
     for _, pattern, _ in RULES[:2]:
         chosen = chosen.withColumn("t", F.regexp_replace("t", pattern, " "))
     words = F.regexp_extract_all(F.regexp_replace("t", RULES[2][2], " "), F.lit("([A-Za-z0-9]{3,15})"), F.lit(1))

@@ -78,12 +78,14 @@ def _masks(radius: int) -> list[int]:
 
 
 def ball_links(fps: DataFrame, radius: int = 2) -> DataFrame:
-    """(a, b) with a > b: links within ``radius`` (at most 3) bits that join every pair within it, for distinct ``fps``(fp)."""
-    if not 0 <= radius <= 3:
-        raise ValueError("the ball is hashed for a radius of at most 3 bits")
+    """(a, b) with a > b: links within ``radius`` (at most 2) bits that join every pair within it, for distinct ``fps``(fp)."""
+    if not 0 <= radius <= 2:
+        raise ValueError("balls are hashed for a radius of at most 2 bits")
     half = (radius + 1) // 2
     masks = F.array(*[F.lit(m).cast("bigint") for m in _masks(half)])
-    emitted = fps.select("fp", F.posexplode(masks).alias("at", "mask")).select(
+    # Distinct fingerprints are few bytes before each becomes a ball; a partitioning of their own keeps them from being coalesced.
+    spread = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.hash("fp"))
+    emitted = spread.select("fp", F.posexplode(masks).alias("at", "mask")).select(
         F.col("fp").bitwiseXOR(F.col("mask")).alias("variant"),
         F.when(F.col("at") > 0, F.col("mask")).otherwise(F.lit(0).cast("bigint")).alias("flip"),
         (F.col("at") == 0).cast("int").alias("own"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -140,6 +140,34 @@ def max_sim(query_tokens: DataFrame, chunk_tokens: DataFrame, pairs: DataFrame)
     return met.select("query_id", "chunk_id", F.round(clamp((best("q", "d") + 1) / 2), 6).alias("sim"))
 
 
+def max_sim_all(query_tokens: DataFrame, chunk_tokens: DataFrame, query_block: int = 256, chunk_block: int = 1024) -> DataFrame:
+    """As ``max_sim``, of every query with every chunk: blocks of both sides meet, each pair of blocks in one product."""
+
+    def blocks(tokens: DataFrame, key: str, value: str, size: int, names: tuple[str, str]) -> DataFrame:
+        held = tokens.groupBy(key).agg(F.collect_list(value).alias("m"))
+        count = held.agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / size)).alias("parts"))
+        placed = held.crossJoin(count).withColumn("at", F.pmod(F.xxhash64(key), F.col("parts")))
+        return placed.groupBy("at").agg(F.collect_list(F.struct(F.col(key).alias("id"), "m")).alias("rows")).select(F.transform("rows", lambda r: r["id"]).alias(names[0]), F.transform("rows", lambda r: r["m"]).alias(names[1]))
+
+    def stacked(items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        parts = [np.stack(x) for x in items]
+        return np.concatenate(parts), np.cumsum([0, *map(len, parts[:-1])])
+
+    def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for row in frame.itertuples(index=False):
+                (q, starts), (d, at) = stacked(row.q), stacked(row.d)
+                best = np.maximum.reduceat(q @ d.T, at, axis=1)
+                mean = np.add.reduceat(best, starts, axis=0) / np.diff([*starts, len(q)])[:, None]
+                asked, chunks = np.asarray(row.qid), np.asarray(row.did)
+                yield pd.DataFrame({"query_id": np.repeat(asked, len(chunks)), "chunk_id": np.tile(chunks, len(asked)), "sim": mean.ravel()})
+
+    kinds = f"query_id {query_tokens.schema['query_id'].dataType.simpleString()}, chunk_id {chunk_tokens.schema['chunk_id'].dataType.simpleString()}, sim double"
+    left, right = blocks(query_tokens, "query_id", "qv", query_block, ("qid", "q")), blocks(chunk_tokens, "chunk_id", "v", chunk_block, ("did", "d"))
+    met = right.crossJoin(left).repartition("did", "qid").mapInPandas(score, kinds)
+    return met.withColumn("sim", F.round(clamp((F.col("sim") + 1) / 2), 6))
+
+
 def rerank_late(hits: DataFrame, queries: DataFrame, top_k: int, weight: float = 0.95, raw_weight: float = 0.05, query_tokens: int = 32, chunk_tokens: int = 180, dim: int = 64) -> DataFrame:
     """Late interaction over hashed token vectors; every distinct token is embedded once."""
     q = token_matrix(queries, "query_id", F.col("query"), max(1, query_tokens)).withColumnRenamed("pos", "qpos")

@@ -293,6 +293,18 @@ def max_sim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sims.select("query_id", "chunk_id", F.round("sim", 4).alias("sim"))
 
 
+@query()
+def max_sim_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``max_sim``, of every query with every vector; tests compare it with brute force."""
+    from tessella.functions.vectors import normalised
+
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("p"), F.col("embedding").cast("array<double>").alias("e"))
+    unit = vectors.select("vec_id", normalised(F.slice("e", F.col("p") * 16 + 1, 16)).alias("v"))
+    queries = unit.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("qv"))
+    sims = rerank.max_sim_all(queries, unit.select(F.col("vec_id").alias("chunk_id"), "v"))
+    return sims.select("query_id", "chunk_id", F.round("sim", 4).alias("sim"))
+
+
 @query()
 def late_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hashed token vectors use BLAKE2b, which SQL lacks; tests compare it with a scalar version."""

@@ -490,6 +490,13 @@ def qa_sample_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.plan_samples(signals, F.col("lang"), ["doc_id"]).filter("part = 'risk'").select("doc_id", "lang")
 
 
+@query()
+def qa_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both parts of the review sample; SQL has no such hash, tests compare it with brute force."""
+    signals = quality.page_signals(table(spark, sf_dir, "documents"))
+    return quality.plan_samples(signals, F.col("lang"), ["doc_id"]).select("doc_id", "lang", "part")
+
+
 @query(
     """WITH r AS (SELECT CASE WHEN quality = 1 THEN 0.995 ELSE 0.98 END AS a, CASE WHEN doc_id % 3 = 0 THEN NULL WHEN toxic = 1 THEN 0.5 ELSE 0.95 END AS f FROM labels),
 p AS (SELECT a >= 0.99 AND coalesce(f >= 0.9, true) AS ok FROM r)

@@ -4,8 +4,8 @@ A document longer than a window is first cut into full windows. What is left of
 is placed longest first into the tightest open window, which a segment tree indexed by remaining capacity finds.
 Lengths are small integers, so the packing is solved for the histogram of lengths: at most ``window`` counts
 reach the driver whatever the corpus, and equal lengths move through the tree in one step. Each piece then finds
-its window by its rank among pieces of its length; ranks are counted in salted buckets, so that one length that a
-third of all pieces share is no single task.
+its window by its rank among pieces of its length; ranks are counted in hash buckets whose number follows the number
+of pieces, and equal pieces are ranked as one group, so that neither one length nor one text is a single task.
 
 Defined results: a null text is empty (its document is the end token alone); repeated rows are packed again;
 equal rows are interchangeable; an empty table gives no pieces. Only the key and text columns are read.
@@ -19,14 +19,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import text_or_empty
+from tessella.llm.common import equal_groups, expand_groups, group_sizes, number_groups, text_or_empty
 from tessella.llm.tokens import balanced, encoder
-from tessella.session import durable, ship_package
-
-SALTS = 256
+from tessella.session import ship_package
 
 
 class CapacityTree:
@@ -130,23 +128,15 @@ def cut_documents(df: DataFrame, vocabulary: str, window: int = 2048, end_id: in
 
 
 def pack_pieces(pieces: DataFrame, window: int = 2048, key: str = "doc_id") -> DataFrame:
-    """Give each piece of ``cut_documents`` its sequence_id and offset. ``pieces`` is read several times: pass a stored table."""
+    """Give each piece of ``cut_documents`` its sequence_id and offset."""
     ship_package(pieces.sparkSession)
-    histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # <= window rows
+    columns = [key, "start", "length", "ids_crc32", "doc_tokens"]
+    groups = equal_groups(pieces.select(*columns))
+    histogram = {r["length"]: r["n"] for r in groups.groupBy("length").agg(F.sum("__count").alias("n")).collect()}  # <= window rows
     slots, _ = plan_packing(histogram, window)
-    order = [key, "start", "ids_crc32", "doc_tokens"]
-    salted = pieces.withColumn("__salt", F.pmod(F.xxhash64(*order), F.lit(SALTS)).cast("int"))
-    before = Window.partitionBy("length").orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)
-    # <= window x SALTS rows, whatever the corpus
-    bases = salted.groupBy("length", "__salt").agg(F.count(F.lit(1)).alias("__n")).select(
-        "length", "__salt", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base")
-    )
-    inside = Window.partitionBy("length", "__salt").orderBy(*order)
-    ranked = (
-        salted.withColumn("__in", F.row_number().over(inside))
-        .join(bases, ["length", "__salt"])
-        .select(key, "start", "length", "ids_crc32", "doc_tokens", (F.col("__base") + F.col("__in") - 1).alias("__rank"))
-    )
+    n, most = group_sizes(groups)
+    numbered = expand_groups(number_groups(groups, ["length"], n), most)
+    ranked = numbered.select(*columns, (F.col("__first") + F.col("__nth")).alias("__rank"))
     where = {n: tuple(np.array([getattr(s, f) for s in mine], np.int64) for f in ("base", "each", "first", "offset")) for n, mine in slots.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,4 +158,4 @@ def pack_pieces(pieces: DataFrame, window: int = 2048, key: str = "doc_id") -> D
 
 def pack_documents(df: DataFrame, vocabulary: str, window: int = 2048, end_id: int = 1, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Pack all documents; one row per piece with its place."""
-    return pack_pieces(durable(cut_documents(df, vocabulary, window, end_id, key, text)), window, key)
+    return pack_pieces(cut_documents(df, vocabulary, window, end_id, key, text), window, key)

@@ -1,7 +1,8 @@
 """Reproducible global shuffle into shards by a Feistel permutation of row numbers.
 
-Rows are numbered 0..n-1 in the order of (hash bucket of the key, key), by a count per bucket and a number within
-it, so no task ever sorts the whole table. A Feistel network over a x b >= n mixes the numbers, with
+Rows are numbered 0..n-1 in the order of (hash bucket, key, size, checksum), by a count per bucket and a number within
+it, so no task ever sorts the whole table; rows that are equal are numbered as one group with its count, so a third
+of the table that is equal is one row until its numbers are dealt out. A Feistel network over a x b >= n mixes the numbers, with
 b = ceil(n / a), a = ceil(sqrt(n)); what lands at n or above walks its cycle on until it is below, at most
 a*b - n < a times, so the result is a permutation of 0..n-1. Shard and slot follow by arithmetic, and the inverse
 permutation gives the row of any (shard, slot). DataFrame functions only.
@@ -14,13 +15,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import text_or_empty
+from tessella.llm.common import equal_groups, expand_groups, group_sizes, number_groups, text_or_empty
 
 ROUNDS = 6
-BUCKETS = 4096
 
 
 def grid(n: int) -> tuple[int, int]:
@@ -28,10 +28,6 @@ def grid(n: int) -> tuple[int, int]:
     return a, max(1, -(-n // a))
 
 
-def _mixed(value: Column, step: int, seed: int, modulus: int) -> Column:
-    return F.pmod(F.xxhash64(value, F.lit(step), F.lit(seed)), F.lit(modulus))
-
-
 def _pass(x: Column, n: int, seed: int, inverse: bool) -> Column:
     """One pass of the network over 0..a*b-1; the pair (left, right) is folded as one struct per round."""
     a, b = grid(n)
@@ -61,27 +57,17 @@ def feistel(x: Column, n: int, seed: int = 0, inverse: bool = False) -> Column:
     return F.aggregate(steps, once, lambda y, _: F.when(y < n, y).otherwise(_pass(y, n, seed, inverse)))
 
 
-def number_rows(df: DataFrame, order: list[str], name: str = "row_no") -> DataFrame:
-    """Add a global row number 0..n-1 in the order of (bucket, order)."""
-    held = df.withColumn("__bucket", F.pmod(F.xxhash64(*order), F.lit(BUCKETS)).cast("int"))
-    before = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    # at most BUCKETS rows, so one task and a broadcast are safe
-    bases = held.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__n")).select("__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
-    inside = Window.partitionBy("__bucket").orderBy(*[F.col(c).asc_nulls_first() for c in order])
-    numbered = held.withColumn("__in", F.row_number().over(inside)).join(F.broadcast(bases), "__bucket")
-    return numbered.withColumn(name, F.col("__base") + F.col("__in") - 1).drop("__bucket", "__in", "__base")
-
-
-def shard_rows(df: DataFrame, order: list[str], shards: int = 24, seed: int = 0) -> DataFrame:
-    """Add shard (0..shards-1, counts at most one apart) and slot (gapless from 0) to every row."""
-    n = df.count()
-    numbered = number_rows(df, order, "__row")
-    place = numbered.withColumn("__place", feistel(F.col("__row"), n, seed))
-    return place.withColumn("shard", F.pmod("__place", F.lit(shards)).cast("int")).withColumn("slot", F.floor(F.col("__place") / shards).cast("bigint")).drop("__row", "__place")
+def shard_rows(rows: DataFrame, shards: int = 24, seed: int = 0) -> DataFrame:
+    """Add shard (0..shards-1, counts at most one apart) and slot (gapless from 0) to every row; all columns must be orderable."""
+    groups = equal_groups(rows)
+    n, most = group_sizes(groups)
+    numbered = expand_groups(number_groups(groups, [], n), most)
+    place = numbered.withColumn("__place", feistel(F.col("__first") + F.col("__nth"), n, seed))
+    return place.select(*rows.columns, F.pmod("__place", F.lit(shards)).cast("int").alias("shard"), F.floor(F.col("__place") / shards).cast("bigint").alias("slot"))
 
 
 def shard_documents(df: DataFrame, shards: int = 24, seed: int = 0, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, size, text_crc32, shard, slot) of each document under the law of equal row counts."""
     t = text_or_empty(text)
     narrow = df.select(key, (F.octet_length(t) + 8).cast("bigint").alias("size"), F.crc32(t.cast("binary")).alias("text_crc32"))
-    return shard_rows(narrow, [key, "text_crc32", "size"], shards, seed)
+    return shard_rows(narrow, shards, seed)

@@ -56,7 +56,8 @@ def bounded_sample(rows: DataFrame, per_group: int, by: Sequence[str] = (), most
     else:
         low = narrow.orderBy(*order).limit(per_group)
     found = rows.select("k", *by, "t", mark).join(F.broadcast(low), ["k", *by, "h"])
-    return found.dropDuplicates(["k", *by, "h"]).drop("h")
+    # A bounded sample is small enough to be merged into one task; spread, its texts are taken apart by all.
+    return found.dropDuplicates(["k", *by, "h"]).repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "k", "h").drop("h")
 
 
 #: Rows of one window partition that numbers rows, and of one piece of a group of equal rows.

@@ -2,14 +2,15 @@
 
 Features are the character n-grams (3 to 6) of a text's distinct words, framed by blanks, each counted once per text.
 A gram's log-count ratio between toxic and other training texts scales it; grams whose ratio is not well supported
-are left out; a logistic regression learns weights of the scaled features. Only text enters a score.
+are left out, whatever their number; a logistic regression learns weights of the scaled features. Only text enters a score.
 
-The fit uses at most ``per_class`` labelled rows of each label (those whose keys hash lowest), the bound of the
-sample; weights restore the true ratio of the labels. The model (at most ``max_features`` grams) is small by its bound.
+The fit uses at most ``per_class`` labelled rows of each label (those whose keys and texts hash lowest), the bound of
+the sample; weights restore the true ratio of the labels. Rows that share a key count each on its own, so a key that
+many rows have cannot enlarge the sample.
 
 Defined results: a null or empty text has no features and gets the intercept's score; a null label is no label; a
 document with labels of both kinds counts as toxic; without both classes to learn from every score is the share of
-toxic labels (0 for no labels); repeated rows are scored again.
+toxic labels (0 for no labels); repeated rows are scored again and learnt from once.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from tessella.llm.common import fold, letter_words, text_or_empty
+from tessella.llm.common import bounded_sample, fold, letter_words, text_or_empty
 from tessella.session import discard, durable, ship_package
 
 SHORTEST, LONGEST = 3, 6
@@ -96,8 +97,8 @@ def fit(rows: list[list[int]], toxic: list[bool], class_sizes: tuple[int, int],
     return ToxicityModel({g: float(w[i] * r) for i, (g, r) in enumerate(ratios)}, float(b))
 
 
-def gram_ratios(sample: DataFrame, sizes: tuple[int, int], support: float, most: int) -> list[tuple[str, float]]:
-    """Log-count ratios of the best supported grams of stored ``sample``(y, w): at most ``most`` of them, counted in Spark.
+def gram_ratios(sample: DataFrame, sizes: tuple[int, int], support: float) -> list[tuple[str, float]]:
+    """Log-count ratios of the supported grams of stored ``sample``(y, w), the best supported first, counted in Spark.
 
     Every task counts the grams of its own rows first, so the shuffle carries one row per gram and task.
     """
@@ -122,11 +123,11 @@ def gram_ratios(sample: DataFrame, sizes: tuple[int, int], support: float, most:
     # The root of twice the deviance of the 2 x 2 table: how well the ratio is supported, zero counts included.
     deviance = part(F.col("p"), with_it, n1) + part(F.col("q"), with_it, n0) + part(n1 - F.col("p"), without, n1) + part(n0 - F.col("q"), without, n0)
     strong = counted.select("g", ratio.alias("r"), F.round(F.sqrt(F.greatest(F.lit(0.0), 2 * deviance)), 9).alias("z")).filter(F.col("z") >= support)
-    return [(r["g"], r["r"]) for r in strong.orderBy(F.desc("z"), "g").limit(most).collect()]
+    return [(r["g"], r["r"]) for r in strong.orderBy(F.desc("z"), "g").collect()]
 
 
 def train_toxicity(
-    documents: DataFrame, labels: DataFrame, per_class: int = 2000, hold_out: int | None = 5, support: float = 4.0, max_features: int = 20_000, key: str = "doc_id", text: str = "text", label: str = "toxic"
+    documents: DataFrame, labels: DataFrame, per_class: int = 2000, hold_out: int | None = 5, support: float = 4.0, key: str = "doc_id", text: str = "text", label: str = "toxic"
 ) -> ToxicityModel:
     """Learn from ``labels``; rows whose crc32(key as text) is divisible by ``hold_out`` are never learnt from."""
     ship_package(documents.sparkSession)
@@ -141,12 +142,13 @@ def train_toxicity(
     def words(t: pa.Array) -> pa.Array:
         return pa.array([sorted(set(letter_words(x))) for x in t.to_pylist()], pa.list_(pa.string()))
 
-    # At most 2 x per_class keys are broadcast; their distinct words are stored, and only numbers of chosen grams reach the driver.
+    # At most 2 x per_class keys are broadcast, and of their rows at most as many are taken; the words of those are stored.
     chosen = F.broadcast(low[0].unionByName(low[1]))
-    sample = durable(documents.select(F.col(key).alias("k"), text_or_empty(text).alias("t")).join(chosen, "k").select("k", "y", words("t").alias("w")))
+    labelled = documents.select(F.col(key).alias("k"), text_or_empty(text).alias("t")).join(chosen, "k")
+    sample = durable(bounded_sample(labelled, per_class, ["y"]).select("k", "y", words("t").alias("w")))
     seen = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     counts = (seen.get(False, 0), seen.get(True, 0))
-    ratios = gram_ratios(sample, counts, support, max_features) if all(counts) else []
+    ratios = gram_ratios(sample, counts, support) if all(counts) else []
     at = {g: i for i, (g, _) in enumerate(ratios)}
 
     @arrow_udf("array<int>")

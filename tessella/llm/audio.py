@@ -468,7 +468,10 @@ def probe_audio(df: DataFrame, key: str = "doc_id", media: str = "media", with_p
 
 
 def digest_audio(df: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Digests of stored streams (key, n_bytes, media): read back each payload and hash it together with its stored form."""
+    """Digests of stored streams (key, n_bytes, media): read back each payload and hash it together with its stored form.
+
+    The exact duration is ``samples`` over ``sample_rate``; ``frame_offsets`` are the seek offsets of all frames.
+    """
     ship_package(df.sparkSession)
     source = df.select(key, "n_bytes", "media")
 
@@ -481,14 +484,14 @@ def digest_audio(df: DataFrame, key: str = "doc_id") -> DataFrame:
                     media = x.as_py()
                     s = parse_stream(media)
                     p = decode_stream(media, s)
-                    rows.append((len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), len(media), hashlib.sha256(media).hexdigest(), describe(s), len(s.offsets), s.samples))
-                cols = list(zip(*rows, strict=True)) or [()] * 8
-                kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64())
-                names = [key, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "frames", "samples"]
+                    rows.append((len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), len(media), hashlib.sha256(media).hexdigest(), describe(s), len(s.offsets), s.samples, s.header.rate, s.offsets))
+                cols = list(zip(*rows, strict=True)) or [()] * 10
+                kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()))
+                names = [key, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "frames", "samples", "sample_rate", "frame_offsets"]
                 yield pa.record_batch([part.column(0), part.column(1), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names)
 
     return source.mapInArrow(
         run,
         f"`{key}` {df.schema[key].dataType.simpleString()}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, "
-        "media_bytes bigint, media_sha256 string, feature string, frames bigint, samples bigint",
+        "media_bytes bigint, media_sha256 string, feature string, frames bigint, samples bigint, sample_rate int, frame_offsets array<bigint>",
     )

@@ -110,7 +110,7 @@ def cut_documents(df: DataFrame, vocabulary: str, window: int = 2048, end_id: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary)
         for batch in batches:
-            for at, texts in balanced(batch.column(1)):
+            for at, texts, _ in balanced(batch.column(1)):
                 rows, take = [], []
                 for k, ids in enumerate(enc.ids(texts)):
                     ids += tail

@@ -180,6 +180,9 @@ class Stream:
     table_frames: int | None = None
     table_bytes: int | None = None
     toc: bytes = b""
+    #: Of a VBRI table: bytes from its own frame on, after every so many frames.
+    table_points: list[int] = field(default_factory=list)
+    table_step: int = 0
     delay: int = 0
     end_padding: int = 0
     checked: int = 0
@@ -205,6 +208,11 @@ def _syncsafe(b: bytes) -> int:
     return (b[0] & 127) << 21 | (b[1] & 127) << 14 | (b[2] & 127) << 7 | b[3] & 127
 
 
+def _resynchronised(b: bytes) -> bytes:
+    """Undo unsynchronisation: the zero behind each 0xFF was put in so that no header shows up in a tag."""
+    return b.replace(b"\xff\x00", b"\xff")
+
+
 def _text_frame(b: bytes) -> str:
     codec = {0: "latin-1", 1: "utf-16", 2: "utf-16-be", 3: "utf-8"}.get(b[0] if b else 0, "latin-1")
     return b[1:].decode(codec, "replace").rstrip("\0")
@@ -216,21 +224,30 @@ def _id3v2(data: bytes, at: int, out: Stream) -> int:
         return at
     major, flags = data[at + 3], data[at + 5]
     end = at + 10 + _syncsafe(data[at + 6 : at + 10]) + (10 if flags & 0x10 else 0)
-    p, stop = at + 10, min(end, len(data))
+    tag = data[at + 10 : min(end, len(data))]
+    if flags & 0x80 and major < 4:
+        tag = _resynchronised(tag)
+    p, stop = 0, len(tag)
     if flags & 0x40 and p + 4 <= stop:
-        p += _syncsafe(data[p : p + 4]) if major == 4 else 4 + int.from_bytes(data[p : p + 4], "big")
+        p += _syncsafe(tag[p : p + 4]) if major == 4 else 4 + int.from_bytes(tag[p : p + 4], "big")
     head = 6 if major == 2 else 10
-    while p + head <= stop and data[p] != 0:
+    while p + head <= stop and tag[p] != 0:
         if major == 2:
-            name, size = data[p : p + 3], int.from_bytes(data[p + 3 : p + 6], "big")
+            name, size = tag[p : p + 3], int.from_bytes(tag[p + 3 : p + 6], "big")
         else:
-            name = data[p : p + 4]
-            size = _syncsafe(data[p + 4 : p + 8]) if major == 4 else int.from_bytes(data[p + 4 : p + 8], "big")
-        body = data[p + head : min(p + head + size, stop)]
+            name = tag[p : p + 4]
+            size = _syncsafe(tag[p + 4 : p + 8]) if major == 4 else int.from_bytes(tag[p + 4 : p + 8], "big")
+        body = tag[p + head : min(p + head + size, stop)]
+        if major == 4:
+            form = tag[p + 9]
+            body = body[4:] if form & 0x01 else body  # the length before the transformations below
+            body = _resynchronised(body) if form & 0x02 or flags & 0x80 else body
+            if form & 0x0C:  # compressed or encrypted: nothing that can be read here
+                body = b""
         if name == b"PRIV" and b"\0" in body:
             owner, _, value = body.partition(b"\0")
             out.private[owner.decode("latin-1")] = value
-        elif name[:1] == b"T":
+        elif name[:1] == b"T" and body:
             out.tags[name.decode("latin-1")] = _text_frame(body)
         p += head + size
     return min(end, len(data))
@@ -276,6 +293,12 @@ def _table(h: Header, frame: bytes, out: Stream) -> bool:
         out.table = "VBRI"
         out.delay = 0
         out.table_bytes, out.table_frames = struct.unpack_from(">II", frame, 46)
+        if len(frame) >= 62:
+            entries, scale, width, out.table_step = struct.unpack_from(">4H", frame, 54)
+            at, held = 0, frame[62 : 62 + entries * width] if 1 <= width <= 4 else b""
+            for k in range(0, len(held) - width + 1, width):
+                at += int.from_bytes(held[k : k + width], "big") * scale
+                out.table_points.append(at)
         return True
     return False
 

@@ -121,7 +121,7 @@ def components(links: DataFrame) -> DataFrame:
         labels = new
         if not moved:
             discard(edges)
-            return labels.select("node", "label")
+            return labels
 
 
 def near_duplicates(df: DataFrame, radius: int = 2, words: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -133,8 +133,10 @@ def near_duplicates(df: DataFrame, radius: int = 2, words: int = 3, key: str = "
 def assign_components(rows: DataFrame, radius: int = 2, key: str = "doc_id") -> DataFrame:
     """As ``near_duplicates``, from stored (key, fp) rows; other columns stay."""
     distinct = rows.groupBy("fp").agg(F.min(key).alias("__least"))
+    distinct = durable(distinct)
     labels = components(ball_links(distinct.select("fp"), radius))
     labelled = distinct.join(labels, F.col("fp") == F.col("node"), "left").select("fp", "__least", F.coalesce("label", "fp").alias("__label"))
     labelled = durable(labelled)
+    discard(distinct, labels)
     least = labelled.groupBy("__label").agg(F.min("__least").alias("component"))
     return rows.join(labelled.join(least, "__label").select("fp", "component"), "fp")

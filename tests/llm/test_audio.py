@@ -132,3 +132,51 @@ def test_probe_columns(spark):
     rows = {r["doc_id"]: r for r in audio.probe_audio(media, with_payload=True).collect()}
     assert rows[1]["payload"] == b"abc" and rows[1]["frames"] == 1 and rows[1]["samples"] == 1152
     assert rows[2]["frames"] == rows[3]["frames"] == 0 and rows[2]["frame_offsets"] == []
+
+
+def test_unsynchronised_tags():
+    text = b"\x00a\xff\xe0b"  # holds what looks like a header, so it is stored with a zero between
+    for major, flags, form in ((3, 0x80, 0), (4, 0, 0x02), (4, 0, 0x03)):
+        stored = (len(text).to_bytes(4, "big") if form & 1 else b"") + text.replace(b"\xff", b"\xff\x00")
+        size = len(text) if major == 3 else len(stored)
+        tag = b"TIT2" + struct.pack(">I", size) + bytes((0, form)) + stored
+        s = audio.parse_stream(b"ID3" + bytes((major, 0, flags, 0, 0, 0, len(tag))) + tag + frame(MPEG1_L3_128) * 3)
+        assert s.tags == {"TIT2": "a\xff\xe0b"} and len(s.offsets) == 3 and s.skipped == 0, (major, form)
+
+
+def test_vbri_table():
+    f = bytearray(frame(MPEG1_L3_128))
+    table = b"VBRI" + struct.pack(">HHHIIHHHH", 1, 0, 50, 2000, 4, 3, 2, 2, 1) + struct.pack(">3H", 417, 200, 300)
+    f[36 : 36 + len(table)] = table
+    s = audio.parse_stream(bytes(f) + frame(MPEG1_L3_128) * 4)
+    assert (s.table, s.table_bytes, s.table_frames, s.table_step) == ("VBRI", 2000, 4, 1)
+    assert s.table_points == [834, 1234, 1834] and len(s.offsets) == 4
+
+
+def plain_frames(media):
+    """(offset, length) of the frames behind the first tag, by the formula of the standard alone."""
+    at = 10 + sum((media[6 + i] & 127) << 7 * (3 - i) for i in range(4))
+    kbps = [0, 32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320]
+    out = []
+    while at < len(media):
+        assert media[at] == 0xFF and media[at + 1] & 0xFE == 0xFA
+        size = 144 * 1000 * kbps[media[at + 2] >> 4] // [44100, 48000, 32000][media[at + 2] >> 2 & 3] + (media[at + 2] >> 1 & 1)
+        out.append((at, size))
+        at += size
+    return out
+
+
+def test_query_against_an_independent_reading(spark, documents, texts):
+    from tessella.llm.queries import op1_mpeg_audio
+
+    rows = {r["doc_id"]: r for r in op1_mpeg_audio(spark, "/root/testdata/sf0.001").collect()}
+    media = {r["doc_id"]: bytes(r["media"]) for r in audio.encode_audio(documents).collect()}
+    assert rows.keys() == texts.keys()
+    for i, t in texts.items():
+        frames = plain_frames(media[i])[1:]  # the first is the table
+        assert rows[i]["frame_offsets"] == [a for a, _ in frames] and rows[i]["frames"] == len(frames)
+        assert rows[i]["samples"] == 1152 * len(frames) and rows[i]["sample_rate"] == 32000
+        body = (t or "").encode()
+        payload = b"".join(media[i][a + 23 : a + n] for a, n in frames)[: rows[i]["payload_bytes"]]
+        assert payload == body + bytes(rows[i]["payload_bytes"] - len(body)) and rows[i]["n_bytes"] == len(body)
+        assert rows[i]["payload_sha256"] == hashlib.sha256(payload).hexdigest() and rows[i]["media_sha256"] == hashlib.sha256(media[i]).hexdigest()

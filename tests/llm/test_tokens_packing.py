@@ -128,3 +128,81 @@ def test_packing_documents(documents, texts, library):
     rows = packing.pack_documents(documents, vocabulary()).collect()
     n = check_packing(rows, list(texts.items()), library)
     assert n * 2048 < 1.05 * sum(r["length"] for r in rows) + 2048
+
+
+LONG = st.lists(st.sampled_from([*"abcXYZ 019_.,'\n漢あ。、", " the", " ", "  ", "<|endoftext|>", "🙂", "'s", " '", "é"]), min_size=60, max_size=200).map("".join)
+
+
+@settings(max_examples=200, deadline=None)
+@given(LONG)
+def test_parts_of_any_text_make_up_its_ids(library, text):
+    parts = tokens.safe_parts(text, 8)
+    assert "".join(parts) == text
+    assert [i for p in parts for i in library(p)] == library(text)
+
+
+def test_long_texts_outside_the_alphabet_are_split(library, monkeypatch):
+    seen = []
+    enc2 = tokens.Encoder(vocabulary())
+
+    class Watched:
+        def __init__(self, inner):
+            self.inner = inner
+
+        def encode_batch_fast(self, texts, **options):
+            seen.append(sum(map(len, texts)))
+            return self.inner.encode_batch_fast(texts, **options)
+
+    enc2.tokenizer = Watched(enc2.tokenizer)
+    unit = "The quick 🙂 brown fox, <|endoftext|> don't! 漢字、かな。"
+    text = unit * (5_000_000 // len(unit))
+    assert enc2.counts([text, unit]) == [len(library(unit)) * (5_000_000 // len(unit)), len(library(unit))]
+    assert len(seen) > 3 and max(seen) <= tokens.BATCH_BYTES + tokens.PART_CHARS + 100
+
+
+def test_a_text_of_fifty_megabytes(library):
+    unit = "naïve café 🙂 and some plain words, then more of them. "
+    times = 50_000_000 // len(unit.encode())
+    (n,) = tokens.encoder(vocabulary()).counts([unit * times])
+    two, three = len(library(unit * 2)), len(library(unit * 3))
+    assert n == two + (times - 2) * (three - two)
+
+
+def test_batches_are_balanced_by_bytes():
+    import pyarrow as pa
+
+    texts = ["漢" * 100, "a" * 100, "", "é" * 400, "b" * 50]
+    runs = list(tokens.balanced(pa.array(texts), 400))
+    assert [(at, len(held), sum(sizes)) for at, held, sizes in runs] == [(0, 3, 400), (3, 1, 800), (4, 1, 50)]
+    assert [t for _, held, _ in runs for t in held] == texts
+
+
+def test_another_kind_of_vocabulary_is_left_to_its_library(tmp_path):
+    import json
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    spec = json.load(open(vocabulary(), encoding="utf-8"))
+    assert tokens.follows_ranks(spec)
+    changed = [dict(spec, normalizer={"type": "Lowercase"}), dict(spec, pre_tokenizer={**spec["pre_tokenizer"], "add_prefix_space": True})]
+    changed.append(dict(spec, model=dict(spec["model"], merges=[spec["model"]["merges"][1], spec["model"]["merges"][0], *spec["model"]["merges"][2:]])))
+    paths = [str(public_tokenizers.path("word_bpe_49k.json"))]
+    for i, other in enumerate(changed):
+        paths.append(str(tmp_path / f"{i}.json"))
+        json.dump(other, open(paths[-1], "w"))
+    for path in paths:
+        enc = tokens.Encoder(path)
+        assert enc.compiled is None
+        own = Tokenizer.from_file(path)
+        for text in ("Hello World, there's more", " a  B\n c", "x " * 70_000):
+            assert enc.counts([text]) == [len(own.encode(text, add_special_tokens=False))]
+
+
+def test_queries_of_tokens_and_packing(spark, texts, library):
+    from tessella.llm.queries import op3_packing, op6_token_counts
+
+    sf = "/root/testdata/sf0.001"
+    counts = {r["doc_id"]: r for r in op6_token_counts(spark, sf).collect()}
+    assert {i: (r["n_bytes"], r["n_tokens"], r["over_limit"]) for i, r in counts.items()} == {i: (len((t or "").encode()), n, n > 1024) for i, t in texts.items() for n in [len(library(t or ""))]}
+    check_packing(op3_packing(spark, sf).collect(), list(texts.items()), library)

@@ -4,8 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
-from tessella.llm import mixing, secrets, simhash, toxicity
+from tessella.llm import mixing, secrets, toxicity
 from tessella.llm.queries import QUERIES
+from tessella.session import scratch, shared_dir
+from tests.llm.test_nearcopies import brute_components
 
 SF = "/root/testdata/sf0.001"
 PLAIN = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -34,8 +36,9 @@ def test_toxic_documents_go(spark, stages):
 
 
 def test_one_of_each_group_stays(stages):
-    groups = simhash.near_duplicates(stages[1]).collect()
-    assert Counter(r["doc_id"] for r in stages[2].collect()) == Counter({r["component"] for r in groups})
+    """Groups of near copies as the stage defines them (five-word shingles, Jaccard 0.8 or more), by brute force."""
+    groups = brute_components({r["doc_id"]: r["text"] for r in stages[1].collect()})
+    assert Counter(r["doc_id"] for r in stages[2].collect()) == Counter(set(groups.values()))
 
 
 def test_secrets_are_masked(stages):
@@ -85,3 +88,28 @@ def test_repeated_rows_are_dealt_their_takes(spark):
 
 def test_registered():
     assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 11)] + ["pipeline"]
+
+
+def test_many_equal_rows_share_the_takes_of_their_like(spark):
+    """A third of all rows is one row; others share id, source and size with different texts."""
+    rows = [(1, "a b c", "en", "s", 5)] * 200 + [(2, t, "en", "s", 5) for t in ("a b c", "b c a", "c a b")] * 3 + [(i, "word " * 9, "en", "t", 45) for i in range(10, 400)]
+    docs = spark.createDataFrame(rows, PLAIN)
+    got = Counter((r["doc_id"], r["text"]) for r in cp.mix_sources(spark, docs, SF).collect())
+    want, each = Counter(), Counter((r[0], r[1]) for r in rows)
+    for r in mixing.mix_documents(docs).collect():
+        want[r["doc_id"]] += r["takes"]
+    by = Counter()
+    for (i, _), n in got.items():
+        by[i] += n
+    assert by == +want and all(n <= 2 * each[k] for k, n in got.items())
+
+
+def test_nothing_is_left_in_the_shared_folder(spark, tmp_path):
+    from pathlib import Path
+
+    shared = Path(shared_dir(spark).removeprefix("file://"))
+    before = {p.name for p in shared.iterdir()}
+    for name in ("op3_packing", "op4_simhash", "op8_weighted_mix", "pipeline"):
+        with scratch():
+            QUERIES[name](spark, SF).write.parquet(str(tmp_path / name))
+        assert {p.name for p in shared.iterdir()} == before, name

@@ -2,23 +2,32 @@
 
 Only postings of query terms are built; statistics cover all chunks, whatever a filter keeps. Queries that have
 phrases but match no posting are scored on boosts alone over all chunks, as the fallback demands.
+
+No text is ever joined to a query. Postings and boosts are small rows that lie by chunk: what all queries score on a
+chunk is added up where its postings are, without another shuffle. A phrase stands in a text where it stands inside a
+run of its kind of characters, so phrases meet the distinct runs of the corpus once, by equality of substrings.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping
 from dataclasses import dataclass
+from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessella.functions.text import let, phrases, terms
+from tessella.functions.text import CJK, let, phrases, terms
 from tessella.operators.filters import filter_column
 
 K1, B = 1.5, 0.75
 
 
+#: Up to this many rows (a query and a term each) the query side is broadcast; the rows are counted first.
+BROADCAST_ROWS = 500_000
+
+
 @dataclass(frozen=True)
 class LexicalIndex:
     """postings(term, chunk_id, tf), chunk_stats(chunk_id, dl), term_stats(term, df), corpus_stats(n, avgdl)."""
@@ -32,18 +41,46 @@ class LexicalIndex:
 def build_index(chunks: DataFrame, key: str = "chunk_id", content: str = "content") -> LexicalIndex:
     tokens = chunks.select(F.col(key).alias("chunk_id"), terms(content).alias("t"))
     stats = tokens.select("chunk_id", F.size("t").cast("bigint").alias("dl"))
-    postings = tokens.select("chunk_id", F.explode("t").alias("term")).groupBy("term", "chunk_id").agg(F.count(F.lit(1)).alias("tf"))
-    return LexicalIndex(
-        postings,
-        stats,
-        postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")),
-        stats.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl")),
-    )
+    postings = _exploded(tokens, "t", "chunk_id").groupBy("term", "chunk_id").agg(F.count(F.lit(1)).alias("tf"))
+    return _index(postings, stats)
+
+
+def _exploded(df: DataFrame, array: str, *columns: str | Column, name: str = "term") -> DataFrame:
+    """One row for each element. A plain explode makes the optimiser compute the array once more, to filter out empty ones."""
+    return df.select(*columns, F.explode_outer(array).alias(name)).filter(F.col(name).isNotNull())
+
+
+def _index(postings: DataFrame, stats: DataFrame) -> LexicalIndex:
+    freq = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return LexicalIndex(postings, stats, freq, stats.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl")))
+
+
+def store_index(index: LexicalIndex, path: str) -> None:
+    """Write the postings in the order of their terms, so that a query's terms prune what is read, and all statistics."""
+    index.postings.repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id").write.mode("overwrite").parquet(f"{path}/postings")
+    for name in ("chunk_stats", "term_stats", "corpus_stats"):
+        getattr(index, name).write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def load_index(spark: SparkSession, path: str) -> LexicalIndex:
+    return LexicalIndex(*(spark.read.parquet(f"{path}/{name}") for name in ("postings", "chunk_stats", "term_stats", "corpus_stats")))
+
+
+def update_index(index: LexicalIndex, changed: DataFrame, removed: DataFrame | None = None) -> LexicalIndex:
+    """The index after ``changed``(chunk_id, content) replaced chunks or came new and the ids of ``removed``(chunk_id) went.
+
+    Only changed chunks are read as text; all other postings stay as they are. Store it elsewhere than the old one.
+    """
+    gone = changed.select("chunk_id") if removed is None else changed.select("chunk_id").unionByName(removed.select("chunk_id"))
+    new = build_index(changed)
+    left = lambda df: df.join(gone.distinct(), "chunk_id", "left_anti")
+    return _index(left(index.postings).unionByName(new.postings), left(index.chunk_stats).unionByName(new.chunk_stats))
 
 
 def query_terms(queries: DataFrame, key: str = "query_id", text: str = "query") -> DataFrame:
     """(query_id, term, qtf)."""
-    return queries.select(F.col(key).alias("query_id"), F.explode(terms(text)).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
+    found = queries.select(F.col(key).alias("query_id"), terms(text).alias("t"))
+    return _exploded(found, "t", "query_id").groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
 
 
 def bm25(qtf: Column, tf: Column, df: Column, dl: Column, n: Column, avgdl: Column) -> Column:
@@ -52,29 +89,45 @@ def bm25(qtf: Column, tf: Column, df: Column, dl: Column, n: Column, avgdl: Colu
     return qtf * idf * tf * F.lit(K1 + 1) / (tf + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * length))
 
 
-def bm25_scores(index: LexicalIndex, wanted: DataFrame) -> DataFrame:
-    """(query_id, chunk_id, bm25) of every chunk that shares a term with the query."""
-    hits = index.postings.join(wanted, "term").join(index.term_stats, "term").join(index.chunk_stats, "chunk_id").crossJoin(F.broadcast(index.corpus_stats))
+def _weigh(wanted: DataFrame, freq: DataFrame, stats: DataFrame) -> DataFrame:
+    """(query_id, term, qtf, df, n, avgdl) of the terms that occur: one row for each query and term."""
+    return wanted.join(freq, "term").crossJoin(F.broadcast(stats))
+
+
+def _score(postings: DataFrame, weights: DataFrame) -> DataFrame:
+    """(query_id, chunk_id, bm25) of ``postings``(chunk_id, dl, term, tf) that lie by chunk."""
     part = bm25(F.col("qtf"), F.col("tf"), F.col("df"), F.col("dl"), F.col("n"), F.col("avgdl"))
-    return hits.groupBy("query_id", "chunk_id").agg(F.sum(part).alias("bm25"))
+    return postings.join(weights, "term").groupBy("query_id", "chunk_id").agg(F.sum(part).alias("bm25"))
 
 
-def bm25_search(chunks: DataFrame, queries: DataFrame, key: str = "chunk_id", content: str = "content", query_key: str = "query_id", query: str = "query") -> DataFrame:
-    """(query_id, chunk_id, bm25) in one pass over the chunks.
+def bm25_scores(index: LexicalIndex, wanted: DataFrame) -> DataFrame:
+    """(query_id, chunk_id, bm25) of every chunk that shares a term with the query, from a stored index."""
+    some = index.postings.join(wanted.select("term").distinct(), "term", "left_semi").join(index.chunk_stats, "chunk_id")
+    return _score(some, _weigh(wanted, index.term_stats, index.corpus_stats))
 
-    A chunk keeps its distinct terms with counts only where a query has them, so the shuffle carries postings of query
-    terms alone. The document frequency is counted there before queries multiply the rows.
-    """
-    wanted = query_terms(queries, query_key, query)
+
+def _length(c: str) -> Column:
+    """How many terms a text has; without CJK characters that is a count of words."""
+    return F.when(F.col(c).rlike(f"[{CJK}]"), F.size(terms(c))).otherwise(F.regexp_count(F.col(c), F.lit("[A-Za-z0-9_]+"))).cast("bigint")
+
+
+def _postings(chunks: DataFrame, wanted: DataFrame, key: str, content: str) -> tuple[DataFrame, DataFrame]:
+    """(postings that lie by chunk, weights) of the wanted terms; every statistic counts all chunks."""
+    stats = chunks.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg(_length(content)), F.lit(0.0)).alias("avgdl"))
     tokens = chunks.select(F.col(key).alias("chunk_id"), terms(content).alias("t"))
-    stats = tokens.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg(F.size("t")), F.lit(0.0)).alias("avgdl"))
+    exploded = _exploded(tokens, "t", "chunk_id", F.size("t").cast("bigint").alias("dl"))
+    few = wanted.count() <= BROADCAST_ROWS
     vocabulary = wanted.select("term").distinct()
-    exploded = tokens.select("chunk_id", F.size("t").cast("bigint").alias("dl"), F.explode("t").alias("term"))
-    postings = exploded.join(vocabulary, "term", "left_semi").groupBy("term", "chunk_id", "dl").agg(F.count(F.lit(1)).alias("tf"))
-    df = F.count(F.lit(1)).over(Window.partitionBy("term"))
-    hits = postings.withColumn("df", df).crossJoin(F.broadcast(stats)).join(wanted, "term")
-    part = bm25(F.col("qtf"), F.col("tf"), F.col("df"), F.col("dl"), F.col("n"), F.col("avgdl"))
-    return hits.groupBy("query_id", "chunk_id").agg(F.sum(part).alias("bm25"))
+    some = exploded.join(F.broadcast(vocabulary) if few else vocabulary, "term", "left_semi")
+    parts = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    postings = some.repartition(parts, "chunk_id").groupBy("chunk_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    weights = _weigh(wanted, postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), stats)
+    return postings, F.broadcast(weights) if few else weights
+
+
+def bm25_search(chunks: DataFrame, queries: DataFrame, key: str = "chunk_id", content: str = "content", query_key: str = "query_id", query: str = "query") -> DataFrame:
+    """(query_id, chunk_id, bm25) in one pass over the chunks: only occurrences of query terms are shuffled, once."""
+    return _score(*_postings(chunks, query_terms(queries, query_key, query), key, content))
 
 
 def phrase_boost(query_phrases: Column, content: Column, heading: Column, source: Column) -> Column:
@@ -104,6 +157,51 @@ def _low(c: str) -> Column:
     return F.lower(F.coalesce(F.col(c), F.lit("")))
 
 
+def _runs_of(c: str) -> Column:
+    """Distinct runs of word characters and of CJK characters of a lower-case text."""
+    return F.array_distinct(F.regexp_extract_all(F.col(c), F.lit(f"([a-z0-9_]+|[{CJK}]+)"), F.lit(1)))
+
+
+def phrases_in_runs(runs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(run, p): which phrases of ``wanted``(p) stand in which of the distinct ``runs``(run), by equality of substrings."""
+    lengths = sorted(r["n"] for r in wanted.select(F.length("p").alias("n")).distinct().collect())  # a few small numbers
+    if not lengths:
+        return runs.select("run", F.col("run").alias("p")).limit(0)
+    parts = F.array_distinct(F.concat(*[F.regexp_extract_all("run", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in lengths]))
+    return _exploded(runs.select("run", parts.alias("t")), "t", "run", name="p").join(wanted.select("p").distinct(), "p", "left_semi").select("run", "p")
+
+
+def boosts(texts: DataFrame, asked: DataFrame) -> DataFrame:
+    """(query_id, chunk_id, boost, phrased) where there is any boost; the sums of ``phrase_boost`` and ``metadata_boost``.
+
+    ``texts``: chunk_id and the lower-case c, h, s (content, heading, source); ``asked``: query_id, qt (terms), qp (phrases).
+    """
+    weight = F.lit(0.5) + F.least(F.length("f"), F.lit(8)) * F.lit(0.35)
+    said = _exploded(asked, "qp", "query_id", name="f").withColumn("w", weight)
+    token = _exploded(asked, "qt", "query_id", name="f").groupBy("query_id", "f").agg(F.count(F.lit(1)).alias("times"))
+    per = [said.select("query_id", "f", F.lit(k).alias("kind"), w.alias("w")) for k, w in enumerate((F.col("w"), F.col("w") * 0.75, F.least(F.col("w") * 0.4, F.lit(1.0))))]
+    per += [token.select("query_id", "f", F.lit(k).alias("kind"), (F.col("times") * w).alias("w")) for k, w in ((3, 4.0), (4, 0.8))]
+    weights = reduce(DataFrame.unionByName, per)
+
+    each = lambda kind, found: F.transform(found, lambda f: F.struct(F.lit(kind).alias("kind"), f.alias("f")))
+    runs = texts.select("chunk_id", F.concat(*[each(k, _runs_of(c)) for k, c in enumerate("chs")]).alias("t"))
+    rows = _exploded(runs, "t", "chunk_id", name="x").select("chunk_id", "x.kind", F.col("x.f").alias("run"))
+    known = phrases_in_runs(rows.select("run").distinct(), said.select(F.col("f").alias("p")))
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    phrased = rows.join(known, "run").select("chunk_id", "kind", F.col("p").alias("f")).repartition(parts, "chunk_id").distinct()
+    marks = texts.select("chunk_id", F.concat(each(3, F.array_distinct(terms("h"))), each(4, F.array_distinct(terms("s")))).alias("t"))
+    named = _exploded(marks, "t", "chunk_id", name="x").select("chunk_id", "x.kind", "x.f")
+    few = weights.count() <= BROADCAST_ROWS
+
+    def add(found: DataFrame, phrase: bool) -> DataFrame:
+        mine = weights.filter(F.col("kind") < 3 if phrase else F.col("kind") >= 3)
+        sums = found.join(F.broadcast(mine) if few else mine, ["kind", "f"]).groupBy("query_id", "chunk_id").agg(F.sum("w").alias("boost"))
+        return sums.withColumn("phrased", F.lit(phrase))
+
+    both = add(phrased, True).unionByName(add(named, False))
+    return both.groupBy("query_id", "chunk_id").agg(F.sum("boost").alias("boost"), F.max("phrased").alias("phrased"))
+
+
 def lexical_search(chunks: DataFrame, queries: DataFrame, top_k: int, conditions: Mapping[str, Any] | None = None) -> DataFrame:
     """(query_id, chunk_id, score, rank): BM25 plus boosts; only positive scores; ties by chunk id.
 
@@ -111,18 +209,16 @@ def lexical_search(chunks: DataFrame, queries: DataFrame, top_k: int, conditions
     """
     if top_k <= 0:
         return chunks.sparkSession.createDataFrame([], "query_id string, chunk_id string, score double, rank int")
-    scored = bm25_search(chunks, queries)
+    postings, weights = _postings(chunks, query_terms(queries), "chunk_id", "content")
     allowed = chunks.filter(filter_column(chunks, conditions)) if conditions else chunks
-    text = allowed.select("chunk_id", _low("content").alias("c"), _low("heading_path").alias("h"), _low("source").alias("s"))
     asked = queries.select("query_id", terms("query").alias("qt"), phrases("query").alias("qp"))
-    found = scored.join(text, "chunk_id").join(asked, "query_id")
-    # No posting at all (before the filter): every chunk may still earn boosts. Such queries are few and bring no BM25.
-    rest = asked.filter(F.size("qp") > 0).join(scored.select("query_id").distinct(), "query_id", "left_anti")
-    fallback = rest.join(text.filter((F.col("c") != "") | (F.col("h") != "") | (F.col("s") != "")), F.exists("qp", lambda p: F.contains("c", p) | F.contains("h", p) | F.contains("s", p)))
-    both = found.unionByName(fallback.withColumn("bm25", F.lit(0.0)))
-    boost = phrase_boost(F.col("qp"), F.col("c"), F.col("h"), F.col("s")) + metadata_boost(F.col("qt"), terms("h"), terms("s"))
-    total = both.select("query_id", "chunk_id", (F.col("bm25") + boost).alias("score")).filter("score > 0")
-    return rank_hits(total, top_k)
+    extra = boosts(allowed.select("chunk_id", _low("content").alias("c"), _low("heading_path").alias("h"), _low("source").alias("s")), asked)
+    scored = _score(postings.join(allowed.select("chunk_id"), "chunk_id", "left_semi") if conditions else postings, weights)
+    found = scored.join(extra, ["query_id", "chunk_id"], "left").select("query_id", "chunk_id", (F.col("bm25") + F.coalesce("boost", F.lit(0.0))).alias("score"))
+    # No posting at all (before the filter): every chunk with one of the phrases may still earn boosts.
+    rest = queries.select("query_id").join(weights.select("query_id").distinct(), "query_id", "left_anti")
+    fallback = extra.filter("phrased").join(rest, "query_id", "left_semi").select("query_id", "chunk_id", F.col("boost").alias("score"))
+    return rank_hits(found.unionByName(fallback).filter("score > 0"), top_k)
 
 
 def rank_hits(hits: DataFrame, top_k: int, keys: tuple[str, ...] = ("query_id",)) -> DataFrame:

@@ -202,10 +202,11 @@ def boosts(texts: DataFrame, asked: DataFrame) -> DataFrame:
     return both.groupBy("query_id", "chunk_id").agg(F.sum("boost").alias("boost"), F.max("phrased").alias("phrased"))
 
 
-def lexical_search(chunks: DataFrame, queries: DataFrame, top_k: int, conditions: Mapping[str, Any] | None = None) -> DataFrame:
+def lexical_search(chunks: DataFrame, queries: DataFrame, top_k: int, conditions: Mapping[str, Any] | None = None, digits: int | None = None) -> DataFrame:
     """(query_id, chunk_id, score, rank): BM25 plus boosts; only positive scores; ties by chunk id.
 
     ``chunks``: chunk_id, content, heading_path, source and what the filter names. ``queries``: query_id, query.
+    ``digits`` rounds scores before they are ranked, so that sums added up in another order still tie.
     """
     if top_k <= 0:
         return chunks.sparkSession.createDataFrame([], "query_id string, chunk_id string, score double, rank int")
@@ -218,7 +219,8 @@ def lexical_search(chunks: DataFrame, queries: DataFrame, top_k: int, conditions
     # No posting at all (before the filter): every chunk with one of the phrases may still earn boosts.
     rest = queries.select("query_id").join(weights.select("query_id").distinct(), "query_id", "left_anti")
     fallback = extra.filter("phrased").join(rest, "query_id", "left_semi").select("query_id", "chunk_id", F.col("boost").alias("score"))
-    return rank_hits(found.unionByName(fallback).filter("score > 0"), top_k)
+    both = found.unionByName(fallback).filter("score > 0")
+    return rank_hits(both if digits is None else both.withColumn("score", F.round("score", digits)), top_k)
 
 
 def rank_hits(hits: DataFrame, top_k: int, keys: tuple[str, ...] = ("query_id",)) -> DataFrame:

@@ -63,6 +63,8 @@ def _top(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
 _TOP10 = f"""WITH {_BM25},
 ranked AS (SELECT query_id, chunk_id, round(bm25, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 6) DESC, chunk_id) AS rank FROM scored),
 top AS (SELECT * FROM ranked WHERE rank <= 10)"""
+#: The candidates of a second stage.
+_TOP100 = _TOP10.replace("rank <= 10)", "rank <= 100)")
 
 
 # == text and statistics ==
@@ -121,7 +123,7 @@ _PHRASES = f"list_distinct(list_filter({_TOKENS.format('b.text')}, lambda t: len
 
 
 @query(
-    _TOP10
+    _TOP100
     + f""", asked AS (SELECT item_id, {_PHRASES} AS p, {_TOKENS.format('b.text')} AS t FROM benchmark b)
 SELECT query_id, chunk_id,
   round(list_sum(list_transform(p, lambda x: CASE WHEN contains(lower(d.text), x) THEN 0.5::DOUBLE + least(len(x), 8) * 0.35::DOUBLE ELSE 0 END)
@@ -130,8 +132,8 @@ SELECT query_id, chunk_id,
 FROM top JOIN documents d ON chunk_id = d.doc_id JOIN asked ON item_id = query_id"""
 )
 def lexical_boosts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Phrase and metadata boosts of the ten best BM25 hits."""
-    hits = _top(spark, sf_dir, 10).join(_chunks(spark, sf_dir), "chunk_id").join(_queries(spark, sf_dir), "query_id")
+    """Phrase and metadata boosts of the hundred best BM25 hits."""
+    hits = _top(spark, sf_dir, 100).join(_chunks(spark, sf_dir), "chunk_id").join(_queries(spark, sf_dir), "query_id")
     low = lambda c: F.lower(F.col(c))
     return hits.select(
         "query_id", "chunk_id", F.round(lexical.phrase_boost(fx.phrases("query"), low("content"), low("heading_path"), low("source")), 6).alias("phrase_boost"),
@@ -144,14 +146,13 @@ def lexical_boosts(spark: SparkSession, sf_dir: str) -> DataFrame:
 total AS (SELECT query_id, chunk_id, round(bm25
   + list_sum(list_transform(p, lambda x: CASE WHEN contains(lower(d.text), x) THEN 0.5::DOUBLE + least(len(x), 8) * 0.35::DOUBLE ELSE 0 END))
   + list_sum(list_transform(p, lambda x: CASE WHEN contains(lower(d.source), x) THEN least((0.5::DOUBLE + least(len(x), 8) * 0.35::DOUBLE) * 0.4::DOUBLE, 1) ELSE 0 END))
-  + list_sum(list_transform(t, lambda x: CASE WHEN list_contains({_TOKENS.format('d.source')}, x) THEN 0.8::DOUBLE ELSE 0 END)), 4) AS score
+  + list_sum(list_transform(t, lambda x: CASE WHEN list_contains({_TOKENS.format('d.source')}, x) THEN 0.8::DOUBLE ELSE 0 END)), 6) AS score
   FROM scored JOIN documents d ON chunk_id = d.doc_id JOIN asked ON item_id = query_id WHERE d.lang = 'en')
-SELECT query_id, max(score) AS best, count(*) AS found FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS r FROM total) WHERE r <= 100 GROUP BY query_id"""
+SELECT query_id, chunk_id, score, r::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS r FROM total WHERE score > 0) WHERE r <= 100"""
 )
 def lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """BM25 plus boosts under a metadata filter: the best score and how many of 100 hits there are."""
-    hits = lexical.lexical_search(_chunks(spark, sf_dir), _queries(spark, sf_dir), 100, {"lang": "en"})
-    return hits.groupBy("query_id").agg(F.round(F.max("score"), 4).alias("best"), F.count(F.lit(1)).alias("found"))
+    """BM25 plus boosts under a metadata filter: the 100 best hits of each query."""
+    return lexical.lexical_search(_chunks(spark, sf_dir), _queries(spark, sf_dir), 100, {"lang": "en"}, digits=6).select("query_id", "chunk_id", "score", "rank")
 
 
 # == vectors ==
@@ -238,12 +239,12 @@ def parent_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # == reranking ==
 @query(
-    _TOP10
+    _TOP100
     + """, span AS (SELECT *, min(score) OVER (PARTITION BY query_id) AS lo, max(score) OVER (PARTITION BY query_id) AS hi FROM top)
 SELECT query_id, chunk_id, round(CASE WHEN hi - lo <= 1e-9 * greatest(abs(hi), abs(lo)) THEN CASE WHEN score > 0 THEN 1 ELSE 0 END ELSE (score - lo) / (hi - lo) END, 6)::DOUBLE AS norm FROM span"""
 )
 def minmax_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _top(spark, sf_dir, 10).select("query_id", "chunk_id", F.round(rerank.normalised_raw(F.col("score")), 6).alias("norm"))
+    return _top(spark, sf_dir, 100).select("query_id", "chunk_id", F.round(rerank.normalised_raw(F.col("score")), 6).alias("norm"))
 
 
 _ORDERED = "list_filter({0}, lambda x, i: list_position({0}, x) = i)"
@@ -253,7 +254,7 @@ _SHARE = f"coalesce({_SUM.format('{0}', 'CASE WHEN {1} THEN ' + _W + ' * {2} ELS
 
 
 @query(
-    _TOP10
+    _TOP100
     + f""", asked AS (SELECT item_id, {_ORDERED.format(_TOKENS.format('b.text'))} AS t, {_ORDERED.format("list_filter(" + _TOKENS.format('b.text') + ", lambda t: len(t) >= 2)")} AS p, regexp_replace(lower(b.text), '[^\\pL\\pN]+', '', 'g') AS c FROM benchmark b),
 parts AS (SELECT query_id, chunk_id, score, rank,
     {_SHARE.format('t', "contains(concat(lower(d.text), ' ', lower(d.source)), x)", '1')} AS term,
@@ -266,8 +267,8 @@ SELECT query_id, chunk_id, round(round(least(1, term * 0.41::DOUBLE + phrase * 0
   + CASE WHEN term >= 0.60::DOUBLE THEN 0.06::DOUBLE ELSE 0 END + CASE WHEN phrase >= 0.40::DOUBLE THEN 0.04::DOUBLE ELSE 0 END), 6), 4)::DOUBLE AS relevance FROM parts"""
 )
 def pair_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pairwise relevance of the ten best hits."""
-    hits = _top(spark, sf_dir, 10).join(_chunks(spark, sf_dir), "chunk_id").join(rerank.query_profile(_queries(spark, sf_dir)), "query_id")
+    """The pairwise relevance of the hundred best hits."""
+    hits = _top(spark, sf_dir, 100).join(_chunks(spark, sf_dir), "chunk_id").join(rerank.query_profile(_queries(spark, sf_dir)), "query_id")
     score = rerank.pair_score(F.col("q_terms"), F.col("q_phrases"), F.col("q_compact"), F.lower("content"), F.lower("heading_path"), F.lower("source"))
     return hits.select("query_id", "chunk_id", F.round(score, 4).alias("relevance"))
 
@@ -275,41 +276,36 @@ def pair_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     """WITH parts AS (SELECT vec_id, p, list_slice(embedding::DOUBLE[], p * 16 + 1, p * 16 + 16) AS v FROM embeddings, range(4) r(p)),
 unit AS (SELECT vec_id, p, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM parts),
-best AS (SELECT q.vec_id AS query_id, d.vec_id AS chunk_id, q.p, max(list_dot_product(q.v, d.v)) AS s FROM unit q JOIN unit d ON q.vec_id % 100 = 0 AND d.vec_id % 10 = (q.vec_id // 100) % 10 GROUP BY ALL)
-SELECT query_id, chunk_id, round((avg(s) + 1) / 2, 4) AS sim FROM best GROUP BY ALL"""
+best AS (SELECT q.vec_id AS query_id, d.vec_id AS chunk_id, q.p, max(list_dot_product(q.v, d.v)) AS s FROM unit q JOIN unit d ON q.vec_id % 100 = 0 GROUP BY ALL),
+sims AS (SELECT query_id, chunk_id, round((avg(s) + 1) / 2, 6) AS score FROM best GROUP BY ALL)
+SELECT query_id, chunk_id, score, r::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS r FROM sims) WHERE r <= 20"""
 )
 def max_sim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Late interaction over quarters of the vectors as token vectors; a query's candidates share its bucket of ids."""
-    vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("p"), F.col("embedding").cast("array<double>").alias("e"))
-    part = vectors.select("vec_id", "p", F.slice("e", F.col("p") * 16 + 1, 16).alias("v"))
-    from tessella.functions.vectors import normalised
-
-    unit = part.select("vec_id", "p", normalised(F.col("v")).alias("v"))
-    queries = unit.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("p").alias("qpos"), F.col("v").alias("qv"))
-    ids = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), (F.col("vec_id") % 10).alias("bucket"))
-    asked = queries.select("query_id", (F.floor(F.col("query_id") / 100) % 10).alias("bucket")).distinct()
-    pairs = asked.join(ids, "bucket").select("query_id", "chunk_id")
-    sims = rerank.max_sim(queries, unit.select(F.col("vec_id").alias("chunk_id"), "v"), pairs)
-    return sims.select("query_id", "chunk_id", F.round("sim", 4).alias("sim"))
+    """Late interaction over quarters of the vectors as token vectors: the 20 best of all vectors for each query."""
+    sims = _all_sims(spark, sf_dir).select("query_id", "chunk_id", F.round("sim", 6).alias("score"))
+    return lexical.rank_hits(sims, 20)
 
 
-@query()
-def max_sim_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As ``max_sim``, of every query with every vector; tests compare it with brute force."""
+def _all_sims(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessella.functions.vectors import normalised
 
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("p"), F.col("embedding").cast("array<double>").alias("e"))
     unit = vectors.select("vec_id", normalised(F.slice("e", F.col("p") * 16 + 1, 16)).alias("v"))
     queries = unit.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("qv"))
-    sims = rerank.max_sim_all(queries, unit.select(F.col("vec_id").alias("chunk_id"), "v"))
-    return sims.select("query_id", "chunk_id", F.round("sim", 4).alias("sim"))
+    return rerank.max_sim_all(queries, unit.select(F.col("vec_id").alias("chunk_id"), "v"))
+
+
+@query()
+def max_sim_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``max_sim``, every pair of a query and a vector; tests compare it with brute force."""
+    return _all_sims(spark, sf_dir).select("query_id", "chunk_id", F.round("sim", 4).alias("sim"))
 
 
 @query()
 def late_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hashed token vectors use BLAKE2b, which SQL lacks; tests compare it with a scalar version."""
-    hits = durable(_top(spark, sf_dir, 10).join(_chunks(spark, sf_dir), "chunk_id"))
-    return rerank.rerank_late(hits, _queries(spark, sf_dir), 5).select("query_id", "chunk_id", "score", "rank")
+    hits = durable(_top(spark, sf_dir, 100).join(_chunks(spark, sf_dir), "chunk_id"))
+    return rerank.rerank_late(hits, _queries(spark, sf_dir), 20).select("query_id", "chunk_id", "score", "rank")
 
 
 # == evaluation ==

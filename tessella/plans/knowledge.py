@@ -13,7 +13,7 @@ from tessella.operators import evaluation, fusion, lexical, prompt, rerank, sync
 from tessella.operators.chunks import ChunkPolicy, chunk_documents, parent_child_chunks
 from tessella.operators.filters import apply_filter, with_default
 from tessella.plans.settings import Settings, provider
-from tessella.session import durable
+from tessella.session import durable, ship_package
 from tessella.sources.datasets import read_labelled_queries
 from tessella.sources.files import read_documents
 from tessella.sources.snapshots import SnapshotStore
@@ -47,6 +47,7 @@ class KnowledgeBase:
     """A snapshot store with its settings; one chunk table feeds both channels."""
 
     def __init__(self, spark: SparkSession, settings: Settings) -> None:
+        ship_package(spark)
         self.spark, self.settings = spark, settings.checked()
         self.store = SnapshotStore(spark, self.settings.store)
         self.provider = provider(self.settings.provider)
@@ -80,12 +81,12 @@ class KnowledgeBase:
         known = sync.reuse_vectors(fresh, old)
         embedded = known.withColumn("vector", F.coalesce("vector", embed(F.col("content"), self.settings.embedding_dim)))
         report = sync.sync_report(diff, old, fresh).collect()[0].asDict()
-        target = self.store.begin()
+        target, before = self.store.begin(), self.store.current()
         sync.replace_documents(old, embedded.select(*old.columns), diff).write.parquet(f"{target}/chunks")
         if parents is not None:
             (parents if old_parents is None else sync.replace_documents(old_parents, parents.select(*old_parents.columns), diff)).write.parquet(f"{target}/parents")
         sync.next_manifest(diff, manifest, now).write.parquet(f"{target}/manifest")
-        self.store.publish(target)
+        self.store.publish(target, before)
         return IndexResult(report, self.chunk_count(), self.store.manifest().count())
 
     def index(self, source: str, acl: Sequence[str] | None = None, reset: bool = False, now: int = 0) -> IndexResult:

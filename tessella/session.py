@@ -39,6 +39,7 @@ def get_session(master: str = "local[*]", shuffle_partitions: int = 8, **extra:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)  # what a query does with the table may need this package on the workers
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -1,16 +1,16 @@
 """Approximate nearest neighbours by shifted space-filling curves.
 
 Each of several curves rotates the unit vectors by its own random orthogonal projection to a few dimensions, shifts
-and quantises them on quantiles of a bounded sample, and orders all vectors by Hilbert key. Spark range-partitions
-the keys of all curves into blocks of a fixed row count; a query visits its own block and the neighbouring ones on
-every curve. What all visits find is merged, deduplicated and reranked by exact cosine in double precision.
+and quantises them on quantiles of a bounded sample, and orders all vectors by Hilbert key. The order of every curve is
+cut into blocks of a fixed row count; a query visits its own block and the neighbouring ones on every curve. What all
+visits find is merged, deduplicated and reranked by exact cosine in double precision. Positions are exact and ties of
+keys go by id and vector, so reruns agree. There is no other path: every table, of any size, is searched this way.
 
 How far windows reach is measured, not fixed: a hash-ordered sample of the queries is compared with the whole table,
 and the reach is the least, from ``reach`` on, at which their windows hold the stated share of the true neighbours.
-Where such windows would visit as many rows as the table has, every query is compared with every entry instead,
-exactly and without a shuffle of the entries; on vectors without structure that is the case at every size, and the
-work grows with queries x rows. Equal vectors are one entry with its smallest ids, so a group of copies that is a
-third of the table fills neither a block nor a window, and their ties are exact.
+On vectors without structure that is a fixed part of every curve, and the work grows with queries x rows. Equal
+vectors are one entry with its smallest ids, so a group of copies that is a third of the table fills neither a block
+nor a window, and their ties are exact.
 
 Defined results: a vector that is null, zero, or holds a null or non-finite component takes no part; vectors of each
 length are searched among themselves; rows that repeat an id and its vector are one; a query that has fewer than ``k``
@@ -25,7 +25,6 @@ from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -124,7 +123,12 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & (F.size(vector) > 0) & good & F.exists(vector, lambda x: x != 0)
 
 
-def _matrix(column: pa.Array, dim: int) -> np.ndarray:
+def _floats(df: DataFrame, vector: str) -> Column:
+    """The vectors as they are if single precision, which no cast changes and which take half the room; else as doubles."""
+    return F.col(vector) if df.schema[vector].dataType.simpleString() == "array<float>" else F.col(vector).cast("array<double>")
+
+
+def _matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return np.asarray(column.flatten(), np.float64).reshape(-1, dim)
 
@@ -163,15 +167,31 @@ def scan_best(entries: DataFrame, askers: list, k: int, dim: int, kind: str) ->
     return entries.select("v", "ids", "entry").mapInArrow(run, schema)
 
 
-def scan_all(entries: DataFrame, k: int, dim: int, kind: str, group: int) -> DataFrame:
-    """(asker, id, score): every query against every entry, ``group`` queries at a time."""
-    asked = durable(entries.filter("asked").select("entry", "v", F.pmod(F.xxhash64("entry"), F.lit(max(1, -(-entries.filter("asked").count() // group)))).alias("g")))
-    parts = [r["g"] for r in asked.select("g").distinct().collect()]
-    found = None
-    for g in parts:  # what the queries of a group find in each partition is stored before the next is read
-        part = durable(scan_best(entries, asked.filter(F.col("g") == g).select("entry", "v").collect(), k, dim, kind).drop("entry"))
-        found = part if found is None else found.unionByName(part)
-    return entries.sparkSession.createDataFrame([], f"asker bigint, id {kind}, score double") if found is None else found
+def placed_on_curves(entries: DataFrame, index: CurveIndex, n: int, dim: int, kind: str, block_rows: int) -> DataFrame:
+    """(entry, block): the block of each of the ``n`` ``entries`` on each curve; blocks of a curve follow those of the one before."""
+    curves = len(index.projections)
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = curve_keys(index, _matrix(batch.column(0), dim)) if batch.num_rows else np.empty((0, curves), np.int64)
+            for c in range(curves):
+                yield pa.record_batch([pa.array(np.full(len(keys), c, np.int32)), pa.array(keys[:, c]), *batch.columns[1:]], ["curve", "key", *batch.schema.names[1:]])
+
+    order = ["curve", "key", "id", "hash"]
+    rows = entries.select("v", "id", F.xxhash64("v").alias("hash"), "entry").mapInArrow(keyed, f"curve int, key bigint, id {kind}, hash bigint, entry bigint")
+    spread = rows.repartitionByRange(max(1, -(-n * curves // 65536)), *order).sortWithinPartitions(*order)
+    # The number is that of the partition, shifted by 33 bits, and the place in it: counts of the partitions before make it a position.
+    numbered = durable(spread.select("entry", F.monotonically_increasing_id().alias("at")))
+    counts = {r["p"]: r["n"] for r in numbered.groupBy(F.shiftright("at", 33).alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    starts, before = [], 0
+    for p in sorted(counts):
+        starts.append((p, before))
+        before += counts[p]
+    first = entries.sparkSession.createDataFrame(starts, "p bigint, start bigint")
+    position = F.col("start") + F.col("at") - F.shiftleft("p", 33)
+    curve, rank = F.floor(position / F.lit(n)), position % F.lit(n)
+    block = curve * F.lit(-(-n // block_rows)) + F.floor(rank / F.lit(block_rows))
+    return durable(numbered.join(F.broadcast(first), F.shiftright("at", 33) == F.col("p")).select("entry", block.cast("bigint").alias("block")))
 
 
 def needed_reach(placed: DataFrame, entries: DataFrame, sampled: list, k: int, dim: int, kind: str, share: float) -> int:
@@ -185,9 +205,9 @@ def needed_reach(placed: DataFrame, entries: DataFrame, sampled: list, k: int, d
         return 0
     held = placed.sparkSession.createDataFrame([(e,) for e in {e for p in pairs for e in p}], "entry bigint")
     blocks: dict[int, list[int]] = {}
-    for r in placed.select("entry", "block").join(F.broadcast(held), "entry", "left_semi").collect():
+    for r in placed.join(F.broadcast(held), "entry", "left_semi").collect():
         blocks.setdefault(r["entry"], []).append(r["block"])
-    apart = sorted(min(abs(x - y) for x in blocks[a] for y in blocks[b]) for a, b in pairs)
+    apart = sorted(min(abs(x - y) for x, y in zip(sorted(blocks[a]), sorted(blocks[b]), strict=True)) for a, b in pairs)
     return apart[max(1, min(len(apart), math.ceil(share * len(apart)))) - 1]
 
 
@@ -212,11 +232,11 @@ def nearest(
 
     ``is_query`` is a condition on the key column. The curves' quantiles come from at most ``sample_rows`` vectors.
     ``reach`` is the least reach; ``probes`` queries decide how much more holds ``share`` of their true neighbours.
-    An exact scan compares ``group`` queries at a time.
+    A block that more than ``group`` queries can visit takes them in parts.
     """
     spark = df.sparkSession
     ship_package(spark)
-    named = df.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
+    named = df.select(F.col(key).alias("id"), _floats(df, vector).alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
     good = named.filter(F.col("id").isNotNull() & usable(F.col("v")))
     sizes = good.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.desc("d")).collect()
     kind = df.schema[key].dataType.simpleString()
@@ -236,42 +256,34 @@ def nearest(
     index = fit_curves(np.array([r["v"] for r in sample]), curves, axes, bits, seed)
     n = entries.count()
 
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = curve_keys(index, _matrix(batch.column(0), dim))
-            for c in range(curves):
-                yield pa.record_batch([pa.array(np.full(len(keys), c, np.int32)), pa.array(keys[:, c]), *batch.columns], ["curve", "key", *batch.schema.names])
-
-    schema = f"curve int, key bigint, v array<double>, ids array<{kind}>, asked boolean, id {kind}, entry bigint"
-    blocks = max(1, -(-n * curves // block_rows))
-    spread = entries.mapInArrow(keyed, schema).repartitionByRange(blocks, "curve", "key", "id", "entry")
-    placed = durable(spread.select("v", "ids", "asked", "entry", F.spark_partition_id().alias("block")))
+    placed = placed_on_curves(entries, index, n, dim, kind, block_rows)
     sampled = entries.filter("asked").orderBy(F.xxhash64("id"), "id").limit(probes).select("entry", "v").collect()
     reach = max(reach, needed_reach(placed, entries, sampled, k, dim, kind, share))
-    visits = placed.filter("asked").select(F.col("entry").alias("asker"), F.col("v").alias("qv"), F.explode(F.sequence(F.col("block") - reach, F.col("block") + reach)).alias("block"))
-    # A block may hold the end of one curve and the start of the next: an entry or a query counts once in it.
-    visits = visits.filter(F.col("block").between(0, blocks - 1)).dropDuplicates(["block", "asker"])
-    stored = placed.select("block", F.col("v").alias("v"), "ids", "entry")
-
-    def rerank(_: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        right = right.drop_duplicates("entry")
-        if not len(left) or not len(right):
-            return pd.DataFrame({"asker": [], "id": [], "score": []})
-        queries, vectors = np.stack(left["qv"].to_numpy()), np.stack(right["v"].to_numpy())
-        ids, askers = right["ids"].to_numpy(), left["asker"].to_numpy()
-        out_q, out_id, out_s = [], [], []
-        for i, near in best_in_block(queries, vectors, k + 1):
-            scores = cosines(np.broadcast_to(queries[i], (len(near), dim)), vectors[near])
-            for s, x in sorted((-s, x) for s, j in zip(scores.tolist(), near, strict=True) for x in ids[j])[: k + 1]:
-                out_q.append(askers[i])
-                out_id.append(x)
-                out_s.append(-s)
-        return pd.DataFrame({"asker": out_q, "id": out_id, "score": out_s})
-
-    if curves * (2 * reach + 1) * block_rows < n:
-        found = visits.groupBy("block").cogroup(stored.groupBy("block")).applyInPandas(rerank, f"asker bigint, id {kind}, score double")
-    else:
-        found = scan_all(entries, k, dim, kind, group)
+    per_curve = -(-n // block_rows)
+    curve_start = F.floor(F.col("block") / F.lit(per_curve)) * per_curve
+    window = F.sequence(F.greatest(F.col("block") - reach, curve_start), F.least(F.col("block") + reach, curve_start + (per_curve - 1)))
+    # At most as many queries can visit a block as its window has rows.
+    parts = max(1, -(-min(entries.filter("asked").count(), (2 * reach + 1) * block_rows) // group))
+    askers = entries.filter("asked").select("entry", F.col("entry").alias("asker"), F.col("v").alias("qv"), F.pmod(F.xxhash64("entry"), F.lit(parts)).cast("int").alias("part"))
+    visits = placed.join(askers, "entry").select(F.explode(window).alias("block"), "part", "asker", "qv")
+    stored = placed.join(entries.select("entry", "v", "ids"), "entry").select("block", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "v", "ids")
+
+    def rerank(left: pa.Table, right: pa.Table) -> pa.Table:
+        found: dict[str, list] = {"asker": [], "id": [], "score": []}
+        if left.num_rows and right.num_rows:
+            queries, vectors = _matrix(left["qv"], dim), _matrix(right["v"], dim)
+            numbers, ids = left["asker"].to_pylist(), right["ids"].to_pylist()
+            for i, near in best_in_block(queries, vectors, k + 1):
+                scores = cosines(np.broadcast_to(queries[i], (len(near), dim)), vectors[near])
+                for s, x in sorted((-s, x) for s, j in zip(scores.tolist(), near, strict=True) for x in ids[j])[: k + 1]:
+                    found["asker"].append(numbers[i])
+                    found["id"].append(x)
+                    found["score"].append(-s)
+        return pa.Table.from_pydict(found, schema=out_schema)
+
+    schema = f"asker bigint, id {kind}, score double"
+    out_schema = to_arrow_schema(StructType.fromDDL(schema))
+    found = visits.groupBy("block", "part").cogroup(stored.groupBy("block", "part")).applyInArrow(rerank, schema)
     # A pair found in several blocks has one score; k + 1 of a query vector are enough for every row that holds it.
     merged = found.groupBy("asker", "id").agg(F.max("score").alias("score"))
     best = merged.withColumn("r", F.row_number().over(Window.partitionBy("asker").orderBy(F.desc("score"), "id"))).filter(F.col("r") <= k + 1)

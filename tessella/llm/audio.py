@@ -490,6 +490,28 @@ def probe_audio(df: DataFrame, key: str = "doc_id", media: str = "media", with_p
     return source.mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, {_PROBE}")
 
 
+_DIGEST = pa.schema([
+    ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()),
+    ("media_sha256", pa.string()), ("feature", pa.string()), ("frames", pa.int64()), ("samples", pa.int64()), ("sample_rate", pa.int32()),
+    ("frame_offsets", pa.list_(pa.int64())),
+])
+_DIGEST_DDL = (
+    "n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, "
+    "frames bigint, samples bigint, sample_rate int, frame_offsets array<bigint>"
+)
+
+
+def _digest(n_bytes: int, media: bytes) -> tuple:
+    s = parse_stream(media)
+    p = decode_stream(media, s)
+    return n_bytes, len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), len(media), hashlib.sha256(media).hexdigest(), describe(s), len(s.offsets), s.samples, s.header.rate, s.offsets
+
+
+def _digest_batch(key: str, keys: pa.Array, rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) or [()] * len(_DIGEST)
+    return pa.record_batch([keys, *(pa.array(c, f.type) for c, f in zip(cols, _DIGEST, strict=True))], [key, *_DIGEST.names])
+
+
 def digest_audio(df: DataFrame, key: str = "doc_id") -> DataFrame:
     """Digests of stored streams (key, n_bytes, media): read back each payload and hash it together with its stored form.
 
@@ -502,19 +524,24 @@ def digest_audio(df: DataFrame, key: str = "doc_id") -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                rows = []
-                for x in part.column(2):
-                    media = x.as_py()
-                    s = parse_stream(media)
-                    p = decode_stream(media, s)
-                    rows.append((len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), len(media), hashlib.sha256(media).hexdigest(), describe(s), len(s.offsets), s.samples, s.header.rate, s.offsets))
-                cols = list(zip(*rows, strict=True)) or [()] * 10
-                kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()))
-                names = [key, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "frames", "samples", "sample_rate", "frame_offsets"]
-                yield pa.record_batch([part.column(0), part.column(1), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names)
-
-    return source.mapInArrow(
-        run,
-        f"`{key}` {df.schema[key].dataType.simpleString()}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, "
-        "media_bytes bigint, media_sha256 string, feature string, frames bigint, samples bigint, sample_rate int, frame_offsets array<bigint>",
-    )
+                yield _digest_batch(key, part.column(0), [_digest(n.as_py(), x.as_py()) for n, x in zip(part.column(1), part.column(2), strict=True)])
+
+    return source.mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, {_DIGEST_DDL}")
+
+
+def digest_texts(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """As ``digest_audio`` of ``encode_audio``, in one pass: a stream is built, read back and dropped, one at a time.
+
+    So no column of streams goes from Python to the executor and back, and a task has one Python worker, not two.
+    """
+    ship_package(df.sparkSession)
+    source = df.select(key, text_or_empty(text).cast("binary").alias("__text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                texts = (x.as_py() for x in part.column(1))
+                yield _digest_batch(key, part.column(0), [_digest(len(t), encode_stream(payload_of(t))) for t in texts])
+
+    return source.mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, {_DIGEST_DDL}")

@@ -23,7 +23,7 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
 
 
 def op1_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audio.digest_audio(audio.encode_audio(table(spark, sf_dir, "documents")))
+    return audio.digest_texts(table(spark, sf_dir, "documents"))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -180,3 +180,16 @@ def test_query_against_an_independent_reading(spark, documents, texts):
         payload = b"".join(media[i][a + 23 : a + n] for a, n in frames)[: rows[i]["payload_bytes"]]
         assert payload == body + bytes(rows[i]["payload_bytes"] - len(body)) and rows[i]["n_bytes"] == len(body)
         assert rows[i]["payload_sha256"] == hashlib.sha256(payload).hexdigest() and rows[i]["media_sha256"] == hashlib.sha256(media[i]).hexdigest()
+
+
+def test_query_digests_in_one_pass(spark, documents, hard, empty):
+    """No stream leaves the worker that built it; the values are those of the two steps one after the other."""
+    from tessella.llm.queries import QUERIES
+
+    plan = QUERIES["op1_mpeg_audio"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    for df in (documents, hard, empty):
+        apart = audio.digest_audio(audio.encode_audio(df))
+        once = audio.digest_texts(df)
+        assert once.schema == apart.schema
+        assert sorted(map(str, once.collect())) == sorted(map(str, apart.collect()))

@@ -35,7 +35,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five-word shingles, Jaccard 0.8 or more) the document with the smallest id stays, once.
 
-    Texts without words, null ones included, are copies of one another; of rows with the same id and text the first by
+    Candidates meet in the balls of op4's fingerprints, taken over five words, and those further apart in MinHash bands;
+    both are verified. Texts without words, null ones included, are copies of one another; of rows with the same id and text the first by
     its other columns stays; of different texts under the smallest id the one of the smallest hash.
     """
     content = fresh(docs, "content")

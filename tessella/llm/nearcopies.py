@@ -1,8 +1,11 @@
 """Near copies by the true Jaccard similarity of word-shingle sets.
 
-Candidates come from MinHash: 60 bands of 6 minima each. Texts that agree in at least 3 bands are candidates, and
-every candidate is verified on the whole sets, so no link is false. A pair at similarity 0.8 exactly agrees in a band
-with probability 0.8^6 and is missed with probability 3e-6, a more similar one with less.
+Candidates come from SimHash: sets whose fingerprints lie within 2 bits meet in ``simhash``'s balls. At similarity 0.8
+most pairs lie further apart than any ball that can be emitted, so the rest comes from MinHash: 60 bands of 6 minima
+each, in which texts that agree in at least 3 bands are candidates. Every candidate of either kind is verified on the
+whole sets, so no link is false, and what the balls join is not compared again in a band. A pair at similarity 0.8
+exactly agrees in a band with probability 0.8^6 and is missed by the bands with probability 3e-6, a more similar one
+with less.
 
 A band that many texts share is no list in one task, and its pairs are not all compared: each member is compared with
 the smallest one first, the links so found make components, and only members of different components are compared
@@ -24,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.common import text_or_empty
-from tessella.llm.simhash import SEED, components, shingle_hashes
+from tessella.llm.simhash import SEED, ball_links, components, fingerprint, shingle_hashes
 from tessella.session import discard, durable, ship_package
 
 BANDS, ROWS, AGREE = 60, 6, 3
@@ -54,7 +57,7 @@ def band_keys(shingles: np.ndarray) -> np.ndarray:
 
 
 def band_rows(df: DataFrame, words: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, node, n, bands): the set's node, its size and its band keys."""
+    """(key, node, n, fp, bands): the set's node, its size, its SimHash fingerprint and its band keys."""
     ship_package(df.sparkSession)
     source = df.select(key, text_or_empty(text).alias("__text"))
 
@@ -62,15 +65,17 @@ def band_rows(df: DataFrame, words: int = 5, key: str = "doc_id", text: str = "t
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                nodes, sizes, bands = [], [], []
+                nodes, sizes, prints, bands = [], [], [], []
                 for t in part.column(1):
                     shingles = shingle_set(t.as_py(), words)
                     nodes.append(node_of(shingles))
                     sizes.append(len(shingles))
+                    prints.append(fingerprint(shingles))
                     bands.append(band_keys(shingles))
-                yield pa.record_batch([part.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(bands, pa.list_(pa.int64()))], [key, "node", "n", "bands"])
+                fps = pa.array(np.array(prints, np.uint64).view(np.int64))
+                yield pa.record_batch([part.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), fps, pa.array(bands, pa.list_(pa.int64()))], [key, "node", "n", "fp", "bands"])
 
-    return source.mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, node bigint, n int, bands array<bigint>")
+    return source.mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, node bigint, n int, fp bigint, bands array<bigint>")
 
 
 def shingle_rows(df: DataFrame, words: int, text: str = "text") -> DataFrame:
@@ -91,6 +96,17 @@ def _fits(a: Column, b: Column, similarity: float) -> Column:
     return F.least(a, b) >= F.greatest(a, b) * F.lit(similarity)
 
 
+def ball_pairs(nodes: DataFrame) -> DataFrame:
+    """(a, b) with a > b: of ``nodes``(node, fp), the smallest nodes of fingerprints that a ball links, and those of one fingerprint with its smallest."""
+    prints = durable(nodes.groupBy("fp").agg(F.min("node").alias("head")))
+    met = ball_links(prints.select("fp"))
+    for side in "ab":
+        met = met.join(prints.select(F.col("fp").alias(side), F.col("head").alias(f"{side}_head")), side)
+    equal = nodes.join(prints, "fp").filter(F.col("node") > F.col("head")).select(F.col("node").alias("a_head"), F.col("head").alias("b_head"))
+    pairs = met.select("a_head", "b_head").unionByName(equal)
+    return pairs.select(F.greatest("a_head", "b_head").alias("a"), F.least("a_head", "b_head").alias("b")).distinct()
+
+
 def shared_bands(nodes: DataFrame) -> DataFrame:
     """(band, node, n, first, first_n): the ``nodes``(node, n, bands) of each band that more than one has, and its smallest node."""
     members = nodes.select(F.explode("bands").alias("band"), "node", "n")
@@ -120,22 +136,24 @@ def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 def assign_near_copies(rows: DataFrame, df: DataFrame, similarity: float = 0.8, words: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, component): the component is the smallest key reachable over pairs of at least ``similarity``.
 
-    ``rows`` are the stored ``band_rows`` of ``df``, from which the sets of the candidates are read again. At
+    ``rows`` are the stored ``band_rows`` of ``df``; the sets of the candidates are read again from its texts. At
     similarities under 0.8 the bands miss more.
     """
-    nodes = durable(rows.groupBy("node").agg(F.min(key).alias("least"), F.first("n").alias("n"), F.first("bands").alias("bands")))
+    nodes = durable(rows.groupBy("node").agg(F.min(key).alias("least"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands")))
+    balls = durable(ball_pairs(nodes))
     shared = durable(shared_bands(nodes))
-    chosen = nodes.join(shared.select("node").distinct(), "node", "left_semi").select("least")
+    met = shared.select("node").unionByName(balls.select(F.explode(F.array("a", "b")).alias("node")))
+    chosen = nodes.join(met.distinct(), "node", "left_semi").select("least")
     texts = df.join(chosen, df[key].eqNullSafe(F.col("least")), "left_semi")
     sets = durable(shingle_rows(texts, words, text).dropDuplicates(["node"]))
-    stars = shared.filter((F.col("node") > F.col("first")) & _fits(F.col("n"), F.col("first_n"), similarity)).select(F.col("node").alias("a"), F.col("first").alias("b")).distinct()
-    links = durable(similar(stars, sets, similarity))
+    stars = shared.filter((F.col("node") > F.col("first")) & _fits(F.col("n"), F.col("first_n"), similarity)).select(F.col("node").alias("a"), F.col("first").alias("b"))
+    links = durable(similar(balls.unionByName(stars).distinct(), sets, similarity))
     labels = components(links)
     more = durable(similar(cross_pairs(shared, labels, similarity), sets, similarity))
     if more.limit(1).count():
         labels = components(links.unionByName(more))
     labelled = nodes.join(labels.withColumnRenamed("node", "linked"), F.col("node") == F.col("linked"), "left").select("node", "least", F.coalesce("label", "node").alias("label"))
     labelled = durable(labelled)
-    discard(nodes, shared, sets, links, more, labels)
+    discard(nodes, balls, shared, sets, links, more, labels)
     least = labelled.groupBy("label").agg(F.min("least").alias("component"))
     return rows.select(key, "node").join(labelled.join(least, "label").select("node", "component"), "node").select(key, "component")

@@ -1,5 +1,7 @@
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as cp
 from tessella.llm import nearcopies
 
@@ -72,3 +74,23 @@ def test_members_left_apart_by_the_first_are_compared(spark):
     assert [tuple(r) for r in nearcopies.similar(pairs, sets, 0.8).collect()] == [(3, 2)]
     joined = spark.createDataFrame([(1, 1), (2, 1), (3, 1)], "node bigint, label bigint")
     assert nearcopies.cross_pairs(shared, joined, 0.8).count() == 0
+
+
+def test_balls_of_fingerprints_link_without_any_band(spark):
+    """A pair within 2 bits is joined by SimHash alone; what the balls join wrongly is not."""
+    fp = lambda t: nearcopies.fingerprint(nearcopies.shingle_set(t, 5))
+    words = [f"w{i}" for i in range(400)]
+    base = " ".join(words)
+    near = next(t for t in (" ".join([*words, f"x{i}"]) for i in range(500)) if 1 <= (fp(t) ^ fp(base)).bit_count() <= 2)
+    docs = spark.createDataFrame([(1, base), (2, near), (3, "some other words of a text"), (4, None), (5, "")], "doc_id bigint, text string")
+    rows = nearcopies.band_rows(docs).withColumn("bands", F.array().cast("array<bigint>"))
+    got = {r["doc_id"]: r["component"] for r in nearcopies.assign_near_copies(nearcopies.durable(rows), docs).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 4}
+    false = rows.withColumn("fp", F.lit(7).cast("bigint"))
+    got = {r["doc_id"]: r["component"] for r in nearcopies.assign_near_copies(nearcopies.durable(false), docs).collect()}
+    assert got[3] == 3 and got[4] == got[5] == 4 and got[1] == 1
+
+
+def test_ball_pairs_are_those_within_two_bits(spark):
+    nodes = spark.createDataFrame([(10, 0), (5, 3), (7, 3), (20, 7), (30, -1), (40, -1 << 63 ^ -1)], "node bigint, fp bigint")
+    assert sorted(map(tuple, nearcopies.ball_pairs(nodes).collect())) == [(7, 5), (10, 5), (20, 5), (40, 30)]

@@ -3,9 +3,10 @@
 Only postings of query terms are built; statistics cover all chunks, whatever a filter keeps. Queries that have
 phrases but match no posting are scored on boosts alone over all chunks, as the fallback demands.
 
-No text is ever joined to a query. Postings and boosts are small rows that lie by chunk: what all queries score on a
-chunk is added up where its postings are, without another shuffle. A phrase stands in a text where it stands inside a
-run of its kind of characters, so phrases meet the distinct runs of the corpus once, by equality of substrings.
+No text is ever joined to a query. A phrase stands in a text where it stands inside a run of its kind of characters.
+A search whose query side fits a task is scored in arrays, block by block (``lexical_blocks``). For a larger one
+postings and boosts are small rows that lie by chunk, and phrases meet the distinct runs of the corpus once, by
+equality of substrings.
 """
 
 from __future__ import annotations
@@ -15,16 +16,21 @@ from dataclasses import dataclass
 from functools import reduce
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.text import CJK, let, phrases, terms
+from tessella.operators import lexical_blocks
 from tessella.operators.filters import filter_column
+from tessella.session import durable, ship_package
 
 K1, B = 1.5, 0.75
 
 
-#: Up to this many rows (a query and a term each) the query side is broadcast; the rows are counted first.
+#: Up to this many rows (a query and a term or phrase each) the query side is broadcast or held by each task; the rows are counted first.
 BROADCAST_ROWS = 500_000
 
 
@@ -210,6 +216,67 @@ def lexical_search(chunks: DataFrame, queries: DataFrame, top_k: int, conditions
     """
     if top_k <= 0:
         return chunks.sparkSession.createDataFrame([], "query_id string, chunk_id string, score double, rank int")
+    asked = queries.select("query_id", phrases("query").alias("qp"))
+    wanted, said = _held(query_terms(queries)), _held(_exploded(asked, "qp", "query_id", name="p"))
+    if wanted is not None and said is not None and wanted.num_rows + said.num_rows:
+        hits = _block_hits(chunks, wanted, said, queries.schema["query_id"].dataType.simpleString(), top_k, conditions, 0.0 if digits is None else 10.0**-digits)
+    else:
+        hits = _joined_hits(chunks, queries, conditions)
+    both = hits.filter("score > 0")
+    return rank_hits(both if digits is None else both.withColumn("score", F.round("score", digits)), top_k)
+
+
+def _held(rows: DataFrame) -> pa.Table | None:
+    """Rows of the query side, unless they are too many for a task."""
+    found = rows.limit(BROADCAST_ROWS + 1).toArrow()
+    return found if found.num_rows <= BROADCAST_ROWS else None
+
+
+def _block_hits(chunks: DataFrame, wanted: pa.Table, said: pa.Table, query_kind: str, top_k: int, conditions: Mapping[str, Any] | None, slack: float) -> DataFrame:
+    """(query_id, chunk_id, score) of ``wanted``(query_id, term, qtf) and ``said``(query_id, p), with all that may be among the ``top_k``."""
+    ship_package(chunks.sparkSession)
+    key = chunks.schema["chunk_id"].dataType.simpleString()
+    query_type = wanted.schema.field("query_id").type
+    ids = pa.chunked_array([*wanted["query_id"].chunks, *said["query_id"].chunks], query_type).unique()
+    words, texts = (pa.chunked_array(c.chunks, pa.string()).unique() for c in (wanted["term"], said["p"]))
+    place = lambda column, values: pc.index_in(column, value_set=values).to_numpy().astype(np.int64)
+
+    ok = F.coalesce(filter_column(chunks, conditions), F.lit(False)) if conditions else F.lit(True)
+    low = chunks.select("chunk_id", "content", ok.alias("ok"), _low("content").alias("c"), _low("heading_path").alias("h"), _low("source").alias("s"))
+    mine = lambda c: F.when(F.col("ok"), c)
+    # Words are runs as they are, but for CJK runs and the two letters whose lower case has an ASCII letter.
+    own = F.when(F.col("ok") & F.col("content").rlike(f"[{CJK}\\u0130\\u212a]"), _runs_of("c"))
+    marks = [mine(F.array_distinct(terms(c))).alias(f"{c}t") for c in "hs"]
+    cut = low.select("chunk_id", "ok", terms("content").alias("t"), own.alias("r"), *[mine(_runs_of(c)).alias(c) for c in "hs"], *marks)
+    stored = durable(cut.mapInArrow(lexical_blocks.cutter(words, lexical_blocks.Trie.of(texts.to_pylist()), len(texts)), f"chunk_id {key}, {lexical_blocks.POSTINGS}"))
+
+    totals = stored.filter("n is not null")
+    n, avgdl = totals.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("dl") / F.sum("texts"), F.lit(0.0))).collect()[0]
+    per = totals.select(F.explode(F.arrays_zip("ids", "tf")).alias("x")).groupBy("x.ids").agg(F.sum("x.tf").alias("df")).toArrow()
+    df = np.zeros(len(words))
+    df[per["ids"].to_numpy()] = per["df"].to_numpy()
+
+    query, term, qtf = place(wanted["query_id"], ids), place(wanted["term"], words), wanted["qtf"].to_numpy()
+    there = df[term] > 0
+    idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+    scores = lexical_blocks.Weights.of(term[there], query[there], (qtf * idf[term])[there], len(words))
+    rest = np.bincount(query[there], minlength=len(ids)) == 0  # no posting at all (before the filter)
+    asker, phrase = place(said["query_id"], ids), place(said["p"], texts)
+    w = 0.5 + np.minimum(np.array([len(p) for p in texts.to_pylist()], float), 8) * 0.35
+    per_kind = [(phrase + k * len(texts), asker, weight[phrase]) for k, weight in enumerate((w, w * 0.75, np.minimum(w * 0.4, 1.0)))]
+    per_kind += [(term + 3 * len(texts) + k * len(words), query, qtf * weight) for k, weight in enumerate((4.0, 0.8))]
+    features = lexical_blocks.Weights.of(*(np.concatenate(x) for x in zip(*per_kind, strict=True)), 3 * len(texts) + 2 * len(words))
+
+    def saturate(tf: np.ndarray, dl: np.ndarray) -> np.ndarray:
+        return tf * (K1 + 1) / (tf + K1 * (1 - B + B * (dl / avgdl if avgdl > 0 else 0.0)))
+
+    score = lexical_blocks.scorer(ids, scores, features, 3 * len(texts), rest, saturate, top_k, slack)
+    kinds = f"query_id {query_kind}, chunk_id {key}, score double"
+    return stored.filter("n is null").select("chunk_id", "dl", "ids", "tf", "features").mapInArrow(score, kinds)
+
+
+def _joined_hits(chunks: DataFrame, queries: DataFrame, conditions: Mapping[str, Any] | None) -> DataFrame:
+    """(query_id, chunk_id, score) of all hits, by joins of rows."""
     postings, weights = _postings(chunks, query_terms(queries), "chunk_id", "content")
     allowed = chunks.filter(filter_column(chunks, conditions)) if conditions else chunks
     asked = queries.select("query_id", terms("query").alias("qt"), phrases("query").alias("qp"))
@@ -219,8 +286,7 @@ def lexical_search(chunks: DataFrame, queries: DataFrame, top_k: int, conditions
     # No posting at all (before the filter): every chunk with one of the phrases may still earn boosts.
     rest = queries.select("query_id").join(weights.select("query_id").distinct(), "query_id", "left_anti")
     fallback = extra.filter("phrased").join(rest, "query_id", "left_semi").select("query_id", "chunk_id", F.col("boost").alias("score"))
-    both = found.unionByName(fallback).filter("score > 0")
-    return rank_hits(both if digits is None else both.withColumn("score", F.round("score", digits)), top_k)
+    return found.unionByName(fallback)
 
 
 def rank_hits(hits: DataFrame, top_k: int, keys: tuple[str, ...] = ("query_id",)) -> DataFrame:

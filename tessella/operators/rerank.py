@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.text import CJK, compact, let, phrases, terms
 from tessella.functions.vectors import digest_embedding
+from tessella.operators.best import Best
+from tessella.session import ship_package
+
+#: Numbers of query vectors that travel in a closure at once; tasks for each core; inner products closer than SLACK may tie in 6 digits.
+BROADCAST_NUMBERS, TASKS_PER_CORE, SLACK = 4_000_000, 3, 4e-6
 
 _ASKING = "吗 呢 几 哪些 哪个 多久 多少 是否 如何 怎么 什么".split()
 _ALIASES = {"代理": "agent", "智能体": "agent", "系统": "system", "记忆": "memory"}
@@ -141,33 +150,89 @@ def max_sim(query_tokens: DataFrame, chunk_tokens: DataFrame, pairs: DataFrame)
 
 
 def max_sim_all(query_tokens: DataFrame, chunk_tokens: DataFrame, query_block: int = 256, chunk_block: int = 1024) -> DataFrame:
-    """As ``max_sim``, of every query with every chunk: blocks of both sides meet, each pair of blocks in one product."""
-
-    def blocks(tokens: DataFrame, key: str, value: str, size: int, names: tuple[str, str]) -> DataFrame:
-        held = tokens.groupBy(key).agg(F.collect_list(value).alias("m"))
-        count = held.agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / size)).alias("parts"))
-        placed = held.crossJoin(count).withColumn("at", F.pmod(F.xxhash64(key), F.col("parts")))
-        return placed.groupBy("at").agg(F.collect_list(F.struct(F.col(key).alias("id"), "m")).alias("rows")).select(F.transform("rows", lambda r: r["id"]).alias(names[0]), F.transform("rows", lambda r: r["m"]).alias(names[1]))
-
-    def stacked(items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        parts = [np.stack(x) for x in items]
-        return np.concatenate(parts), np.cumsum([0, *map(len, parts[:-1])])
-
-    def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for row in frame.itertuples(index=False):
-                (q, starts), (d, at) = stacked(row.q), stacked(row.d)
-                best = np.maximum.reduceat(q @ d.T, at, axis=1)
-                mean = np.add.reduceat(best, starts, axis=0) / np.diff([*starts, len(q)])[:, None]
-                asked, chunks = np.asarray(row.qid), np.asarray(row.did)
-                yield pd.DataFrame({"query_id": np.repeat(asked, len(chunks)), "chunk_id": np.tile(chunks, len(asked)), "sim": mean.ravel()})
+    """As ``max_sim``, of every query with every chunk: blocks of both sides meet, each pair of blocks in products."""
+    return _block_sims(query_tokens, chunk_tokens, None, query_block, chunk_block)
+
+
+def max_sim_top(query_tokens: DataFrame, chunk_tokens: DataFrame, top_k: int, query_block: int = 256, chunk_block: int = 1024) -> DataFrame:
+    """The rows of ``max_sim_all`` that may be among the ``top_k`` of a query by sim, then by chunk id: each task returns its own."""
+    return _block_sims(query_tokens, chunk_tokens, top_k, query_block, chunk_block)
+
 
+def _block_sims(query_tokens: DataFrame, chunk_tokens: DataFrame, top_k: int | None, query_block: int, chunk_block: int) -> DataFrame:
+    """Queries travel in the tasks' closures, up to ``BROADCAST_NUMBERS`` at once; chunks stream past them."""
+    spark = chunk_tokens.sparkSession
+    ship_package(spark)
+    held = lambda tokens, key, value: tokens.groupBy(key).agg(F.collect_list(value).alias("m")).filter(F.size("m") > 0).select(key, F.size("m").alias("n"), F.flatten("m").alias("m"))
+    asked = held(query_tokens, "query_id", "qv").toArrow().combine_chunks()
     kinds = f"query_id {query_tokens.schema['query_id'].dataType.simpleString()}, chunk_id {chunk_tokens.schema['chunk_id'].dataType.simpleString()}, sim double"
-    left, right = blocks(query_tokens, "query_id", "qv", query_block, ("qid", "q")), blocks(chunk_tokens, "chunk_id", "v", chunk_block, ("did", "d"))
-    met = right.crossJoin(left).repartition("did", "qid").mapInPandas(score, kinds)
+    # Each task returns its own best of every query, so there are no more tasks than keep the cores busy, however large the input.
+    parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), TASKS_PER_CORE * spark.sparkContext.defaultParallelism)
+    chunks = held(chunk_tokens.repartition(max(1, parts), "chunk_id"), "chunk_id", "v")
+
+    def steps() -> Iterator[pa.Table]:
+        total = np.cumsum(pc.list_value_length(asked["m"]).to_numpy()) // BROADCAST_NUMBERS
+        for a, b in itertools.pairwise([0, *(np.flatnonzero(np.diff(total)) + 1).tolist(), len(total)]):
+            yield asked.slice(a, b - a)
+
+    found = [chunks.mapInArrow(_sims_of(q, top_k, query_block, chunk_block), kinds) for q in steps() if q.num_rows]
+    met = reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], kinds)
     return met.withColumn("sim", F.round(clamp((F.col("sim") + 1) / 2), 6))
 
 
+def _stacked(n: np.ndarray, m: pa.Array, block: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(places, vectors by position and item) of blocks of items that have equally many vectors."""
+    values = m.flatten().to_numpy(zero_copy_only=False)
+    if not len(n):
+        return
+    width = len(values) // int(n.sum())
+    first = np.cumsum(n) - n
+    rows = values.reshape(-1, width)
+    for count in np.unique(n):
+        same = np.flatnonzero(n == count)
+        for i in range(0, len(same), block):
+            at = same[i : i + block]
+            yield at, np.stack([rows[first[at] + k] for k in range(count)])
+
+
+def _sims_of(asked: pa.Table, top_k: int | None, query_block: int, chunk_block: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    ids = asked["query_id"].combine_chunks()
+    queries = list(_stacked(asked["n"].to_numpy(), asked["m"].combine_chunks(), query_block))
+    names = ["query_id", "chunk_id", "sim"]
+
+    def sims(q: np.ndarray, d: np.ndarray) -> np.ndarray:
+        total = np.zeros((q.shape[1], d.shape[1]))
+        for one in q:
+            best = one @ d[0].T
+            for other in d[1:]:
+                np.maximum(best, one @ other.T, out=best)
+            total += best
+        total /= len(q)
+        if np.isnan(total.sum()):
+            total[np.isnan(total)] = 1.0  # what the clamp makes of it
+        return total
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = Best(len(ids), top_k, SLACK) if top_k else None
+        for batch in batches:
+            for at, d in _stacked(batch["n"].to_numpy(), batch["m"], chunk_block):
+                chunk = batch["chunk_id"].take(pa.array(at))
+                for query, q in queries:
+                    sim = sims(q, d)
+                    if best:
+                        best.add(query, chunk, sim)
+                    else:
+                        of, to = np.divmod(np.arange(sim.size), len(at))
+                        yield pa.RecordBatch.from_arrays([ids.take(pa.array(query[of])), chunk.take(pa.array(to)), pa.array(sim.ravel())], names)
+        if best and best.held:
+            query, chunk, sim = best.cut()
+            for i in range(0, len(query), 1 << 16):
+                part = slice(i, i + (1 << 16))
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(query[part])), chunk[part], pa.array(sim[part])], names)
+
+    return run
+
+
 def rerank_late(hits: DataFrame, queries: DataFrame, top_k: int, weight: float = 0.95, raw_weight: float = 0.05, query_tokens: int = 32, chunk_tokens: int = 180, dim: int = 64) -> DataFrame:
     """Late interaction over hashed token vectors; every distinct token is embedded once."""
     q = token_matrix(queries, "query_id", F.col("query"), max(1, query_tokens)).withColumnRenamed("pos", "qpos")

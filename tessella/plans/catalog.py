@@ -282,23 +282,23 @@ SELECT query_id, chunk_id, score, r::INT AS rank FROM (SELECT *, row_number() OV
 )
 def max_sim(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Late interaction over quarters of the vectors as token vectors: the 20 best of all vectors for each query."""
-    sims = _all_sims(spark, sf_dir).select("query_id", "chunk_id", F.round("sim", 6).alias("score"))
+    sims = rerank.max_sim_top(*_sim_tokens(spark, sf_dir), 20).select("query_id", "chunk_id", F.round("sim", 6).alias("score"))
     return lexical.rank_hits(sims, 20)
 
 
-def _all_sims(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _sim_tokens(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     from tessella.functions.vectors import normalised
 
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("p"), F.col("embedding").cast("array<double>").alias("e"))
     unit = vectors.select("vec_id", normalised(F.slice("e", F.col("p") * 16 + 1, 16)).alias("v"))
     queries = unit.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("qv"))
-    return rerank.max_sim_all(queries, unit.select(F.col("vec_id").alias("chunk_id"), "v"))
+    return queries, unit.select(F.col("vec_id").alias("chunk_id"), "v")
 
 
 @query()
 def max_sim_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As ``max_sim``, every pair of a query and a vector; tests compare it with brute force."""
-    return _all_sims(spark, sf_dir).select("query_id", "chunk_id", F.round("sim", 4).alias("sim"))
+    return rerank.max_sim_all(*_sim_tokens(spark, sf_dir)).select("query_id", "chunk_id", F.round("sim", 4).alias("sim"))
 
 
 @query()
